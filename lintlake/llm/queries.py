@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm.encode import encode_texts
+from lintlake.llm.mix import mix_shares, token_sizes, weighted_mix
+from lintlake.llm.repetition import perplexities, perplexity_bands, repeated_shares
 from lintlake.llm.topn import top_n_per_group
 from lintlake.session import table
 
@@ -58,3 +61,64 @@ _LISTS = """select 'issue' as list_name, file_path as group_key, issue_id as ite
     where shame_score is not null and not isnan(shame_score) and crate_name is not null qualify position <= 5"""
 SQL["p3_found"] = f"select list_name, group_key, item_id from ({_LISTS})"
 SQL["p3_positions"] = _LISTS
+
+
+# Problem 6: encoding with a public tokenizer
+
+
+@_query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), "byte_bpe_50k")
+
+
+# Problem 7: mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    sized = token_sizes(documents, F.col("doc_id"), F.col("source"), F.col("text"))
+    return weighted_mix(sized, table(spark, sf_dir, "mix_targets"))
+
+
+@_query
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)
+
+
+@_query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+# Problem 8: repetition inside a single document
+
+REPEATED = 0.30
+
+
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_shares(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@_query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shares(spark, sf_dir).where(F.col("repeated_share") >= REPEATED - 1e-12).select("doc_id")
+
+
+@_query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of repeated content of every document."""
+    return _shares(spark, sf_dir)
+
+
+@_query
+def p8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity and whether its language's band rejects it."""
+    return perplexity_bands(perplexities(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("lang"), F.col("text")))
+
+
+_SHARES = """with t as (select doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ')) as t from documents),
+    g as (select doc_id, substring(t, i, 20) as s from (select doc_id, t, unnest(generate_series(1, length(t) - 19)) as i from t where length(t) >= 200)),
+    r as (select doc_id, 1 - count(distinct s)::double / count(*) as share from g group by 1)
+    select documents.doc_id, coalesce(share, 0) as repeated_share from documents left join r using (doc_id)"""
+SQL["p8_shares"] = _SHARES
+SQL["p8_found"] = f"select doc_id from ({_SHARES}) where repeated_share >= 0.3 - 1e-12"
