@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.encode import encode_texts
 from lintlake.llm.mix import mix_shares, token_sizes, weighted_mix
 from lintlake.llm.repetition import perplexities, perplexity_bands, repeated_shares
+from lintlake.llm.spans import file_texts, shared_shares, shared_spans
 from lintlake.llm.topn import top_n_per_group
 from lintlake.session import table
 
@@ -20,6 +21,48 @@ def _query(f):
     return f
 
 
+# Problem 2: long exact spans shared between records
+
+SPAN = 200
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "code_blocks").select(F.lit("block").alias("kind"), F.col("block_id").cast("string").alias("key"), F.col("block_text").alias("text"))
+    files = file_texts(table(spark, sf_dir, "line_hashes")).select(F.lit("file").alias("kind"), "key", "text")
+    return blocks.unionByName(files)
+
+
+def _characters(spark: SparkSession, sf_dir: str) -> int:
+    blocks = table(spark, sf_dir, "code_blocks").agg(F.sum(F.octet_length("block_text"))).first()[0]
+    lines = table(spark, sf_dir, "line_hashes").agg(F.sum(F.octet_length("norm_line") * F.size("line_nos"))).first()[0]
+    return (blocks or 0) + (lines or 0)
+
+
+@_query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = shared_spans(_records(spark, sf_dir), SPAN, _characters(spark, sf_dir))
+    return matches.select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key")).distinct()
+
+
+@_query
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every record is shared with other records of its kind."""
+    records = _records(spark, sf_dir)
+    shares = shared_shares(records, shared_spans(records, SPAN, _characters(spark, sf_dir)))
+    return shares.select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key"), "n_characters", "n_shared", F.round("shared_share", 6).alias("shared_share"))
+
+
+_WINDOWS = """with lines as (select distinct file_path, unnest(line_nos) as n, norm_line from line_hashes where norm_line is not null and line_nos is not null),
+    records as (select distinct 'block' as kind, block_id::varchar as key, block_text as text from code_blocks where block_text is not null
+        union all select 'file', file_path, string_agg(norm_line, chr(10) order by n, norm_line) from lines where n is not null group by file_path),
+    windows as (select kind, key, i, substring(text, i, 200) as w from (select *, unnest(generate_series(1, length(text) - 199)) as i from records where length(text) >= 200)),
+    shared as (select * from windows where (kind, w) in (select (kind, w) from windows group by kind, w having count(distinct key) > 1))"""
+SQL["p2_found"] = f"{_WINDOWS} select distinct kind as record_kind, key as record_key from shared"
+SQL["p2_shares"] = f"""{_WINDOWS}, covered as (select kind, key, sum(least(200, coalesce(next - i, 200))) as n from (select kind, key, i, lead(i) over (partition by kind, key order by i) as next from shared) group by all)
+    select kind as record_kind, key as record_key, length(text) as n_characters, coalesce(n, 0)::bigint as n_shared, case when length(text) > 0 then round(coalesce(n, 0) / length(text), 6) else 0 end as shared_share
+    from records left join covered using (kind, key)"""
+
+
 # Problem 3: top N items within every group
 
 ISSUES_PER_FILE, ENTRIES_PER_CRATE = 3, 5

@@ -11,36 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.llm.hashing import code_points, window_hashes
 from lintlake.session import partitions, shared_table
 
 #: Length of the substrings, and of the shortest normalised text that has a share at all.
 SPAN, SHORTEST = 20, 200
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = [np.uint64(m) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
-def span_hashes(text: str, span: int = SPAN) -> np.ndarray:
-    """A 64-bit hash of the substring of ``span`` characters at every position, built from those of the powers of two in ``span``."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - span + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, width, out, done = _mixed(codes + np.uint64(1)), 1, None, 0
-    step = 0
-    while width <= span:
-        if span & width:
-            part = power[done : done + n]
-            out = part.copy() if out is None else _mixed(out * _STEPS[step % 5] + part)
-            done += width
-        if 2 * width <= span:
-            power = _mixed(power[:-width] * _STEPS[step % 5] + power[width:])
-        width, step = 2 * width, step + 1
-    return out
 
 
 def repeated_share(text: str | None, span: int = SPAN, shortest: int = SHORTEST) -> float:
@@ -50,7 +25,7 @@ def repeated_share(text: str | None, span: int = SPAN, shortest: int = SHORTEST)
     text = regex.sub("[ \t\r\n]+", " ", text).strip(" ").lower()
     if len(text) < shortest:
         return 0.0
-    hashes = np.sort(span_hashes(text, span))
+    hashes = np.sort(window_hashes(code_points(text), span))
     return float(1 - (1 + np.count_nonzero(hashes[1:] != hashes[:-1])) / len(hashes))
 
 
