@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.encode import encode_texts
 from lintlake.llm.mix import mix_shares, token_sizes, weighted_mix
+from lintlake.llm.neardup import all_pairs, duplicate_groups, near_duplicates
 from lintlake.llm.repetition import perplexities, perplexity_bands, repeated_shares
 from lintlake.llm.spans import file_texts, shared_shares, shared_spans
 from lintlake.llm.topn import top_n_per_group
@@ -106,6 +107,34 @@ SQL["p3_found"] = f"select list_name, group_key, item_id from ({_LISTS})"
 SQL["p3_positions"] = _LISTS
 
 
+# Problem 5: near-duplicate records with small edits
+
+SHINGLE, SIMILAR, FEWEST_TOKENS = 3, 0.6, 20
+
+
+def _near_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(table(spark, sf_dir, "code_blocks"), F.col("block_id"), F.col("block_text"), SHINGLE, SIMILAR, FEWEST_TOKENS)
+
+
+@_query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = all_pairs(*_near_blocks(spark, sf_dir))
+    return pairs.select(F.col("a").alias("block_id_a"), F.col("b").alias("block_id_b"))
+
+
+@_query
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block long enough to be compared, with its class of copies, its group and its number of links."""
+    return duplicate_groups(*_near_blocks(spark, sf_dir)).withColumnRenamed("id", "block_id")
+
+
+SQL["p5_found"] = """with t as (select distinct block_id, regexp_extract_all(lower(block_text), '[a-z0-9_]+') as k from code_blocks),
+    s as (select distinct block_id, k[i] || ' ' || k[i + 1] || ' ' || k[i + 2] as s from (select *, unnest(generate_series(1, len(k) - 2)) as i from t where len(k) >= 20)),
+    n as (select block_id, count(*) as n from s group by 1),
+    p as (select x.block_id as a, y.block_id as b, count(*) as c from s x join s y on x.s = y.s and x.block_id < y.block_id group by 1, 2)
+    select a as block_id_a, b as block_id_b from p join n x on a = x.block_id join n y on b = y.block_id where c >= 0.6 * (x.n + y.n - c)"""
+
+
 # Problem 6: encoding with a public tokenizer
 
 
