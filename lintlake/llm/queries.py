@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.encode import encode_texts
+from lintlake.llm.filekind import file_kinds
 from lintlake.llm.mix import mix_shares, token_sizes, weighted_mix
 from lintlake.llm.neardup import all_pairs, duplicate_groups, near_duplicates
 from lintlake.llm.repetition import perplexities, perplexity_bands, repeated_shares
@@ -107,6 +108,26 @@ SQL["p3_found"] = f"select list_name, group_key, item_id from ({_LISTS})"
 SQL["p3_positions"] = _LISTS
 
 
+# Problem 4: generated, minified or vendored source files
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("source_files", "file_labels", "exclude_patterns")
+    files, labels, patterns = (table(spark, sf_dir, n) for n in names)
+    return file_kinds(files, F.col("file_id"), F.col("file_path"), F.col("content"), labels, patterns)
+
+
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir).where("label <> 'handwritten'").select(F.col("id").alias("file_id"))
+
+
+@_query
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every file and the belief in it."""
+    return _kinds(spark, sf_dir).select(F.col("id").alias("file_id"), F.col("path").alias("file_path"), "label", F.round("belief", 6).alias("belief"))
+
+
 # Problem 5: near-duplicate records with small edits
 
 SHINGLE, SIMILAR, FEWEST_TOKENS = 3, 0.6, 20
