@@ -49,7 +49,7 @@ def basename(path: Column) -> Column:
 
 
 def parent_directory(path: Column) -> Column:
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def severity_name(raw: Column) -> Column:
