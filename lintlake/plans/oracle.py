@@ -170,3 +170,36 @@ SQL |= {
     "rule_lifetime_abuse": _nth("lifetime-abuse", "regexp_matches(t, '^''[A-Za-z_][A-Za-z0-9_]*$')", 5, "'Spicy'", "'Sarcastic'"),
     "rule_dyn_trait_abuse": _nth("dyn-trait-abuse", "t = 'dyn'", 5, "'Spicy'", "'Sarcastic'"),
 }
+
+_CALLS = """calls as (select n.file_path, n.t as name, n.p1 in ('{', '}', ';') and after.t = ';' as statement from ranges r join kept n on n.file_path = r.file_path and n.i = r.a - 2
+    left join tokens after on after.file_path = r.file_path and after.i = r.b + 1 where r.kind = 'macro')"""
+_ROW = "1 as line, 1 as col, '{}' as rule_name, {} as severity, '{}' as roast_level"
+
+
+def _macro(rule: str, macro: str, severity: str, roast: str) -> str:
+    return f"select file_path, {_ROW.format(rule, severity, roast)}, name as subject from calls where name = '{macro}' and not coalesce(statement, false)"
+
+
+def _over(rule: str, literals: list[str], limit: int, severity: str, roast: str) -> str:
+    return f"select file_path, {_ROW.format(rule, severity, roast)}, n::varchar as subject from (select file_path, {_n(*literals)} as n from parsed) where n > {limit}"
+
+
+_VALUE = "case when starts_with(t, '0x') then try_cast(regexp_replace(replace(t, '_', ''), '[iu](8|16|32|64|128|size)$', '') as hugeint) else try_cast(regexp_replace(replace(t, '_', ''), '[iu](8|16|32|64|128|size)$', '') as hugeint) end"
+SQL |= {
+    "rule_println_debugging": _with(FILES, TOKENS, _CALLS) + _macro("println-debugging", "println", "'Mild'", "Gentle") + " union all " + _over("println-debugging", ["println!"], 5, "'Spicy'", "Savage"),
+    "rule_panic_abuse": _with(FILES, TOKENS, _CALLS)
+    + " union all ".join([_macro("panic-abuse", "panic", "'Spicy'", "Sarcastic"), _over("panic-abuse", ["panic!"], 2, "'Nuclear'", "Savage"), _over("panic-abuse", [".unwrap()"], 3, "'Spicy'", "Sarcastic")]),
+    "rule_iterator_abuse": _with(FILES, TOKENS) + f"select file_path, {_ROW.format('iterator-abuse', chr(39) + 'Mild' + chr(39), 'Gentle')}, null::varchar as subject from kept where t = 'for' and regexp_matches(n1, '^[A-Za-z_]') and n1 <> '_' and n2 = 'in'",
+    "rule_magic_number": _with(FILES, TOKENS) + f"""select file_path, {_ROW.format("magic-number", "case when v > 1000 then 'Spicy' else 'Mild' end", "Gentle")}, v::varchar as subject
+        from (select file_path, {_VALUE} as v from kept where regexp_matches(t, '^[0-9]') and not contains(t, '.') and not (p1 = '.' and coalesce(p2, '') <> '.') and not (n1 = '=' and n2 = '>')) where v is not null and v < 9223372036854775808 and v not in (0, 1, 2, 10, 100, 1000)""",
+    "rule_ffi_abuse": _with(FILES) + " union all ".join([_over("ffi-abuse", rules.C_OPERATIONS, 10, "'Nuclear'", "Savage"), _over("ffi-abuse", rules.LIBRARY_LOADS, 0, "'Spicy'", "Sarcastic"), _over("ffi-abuse", ["#[repr(C)]"], 5, "'Spicy'", "Sarcastic")]),
+    "rule_unsafe_abuse": _with(FILES, TOKENS) + f"""select file_path, {_ROW.format("unsafe-abuse", "case when nth <= 3 then 'Spicy' else 'Nuclear' end", "Savage")}, nth::varchar as subject
+        from (select file_path, row_number() over (partition by file_path order by i) as nth from kept where t = 'unsafe' and n1 = '{{') union all """
+    + " union all ".join([_over("unsafe-abuse", ["*const", "*mut"], 5, "'Nuclear'", "Savage"), _over("unsafe-abuse", rules.DANGEROUS, 3, "'Nuclear'", "Savage")]),
+    "improvement_suggestions": _with(FACTS, FILES) + """, stats as (select rule_name, count(*) as n from facts where rule_name is not null group by 1), top as (select *, row_number() over (order by n desc, rule_name) as position from stats),
+        dense as (select sum(n) / sum(line_count) * 1000 as d from (select file_path, count(*) as n from facts where rule_name is not null group by 1) left join files using (file_path))
+        select position::int as position, rule_name, case when contains(rule_name, 'naming') then 'Choose names that say what a thing is for' when contains(rule_name, 'unwrap') then 'Handle the error case instead of unwrapping'
+            when contains(rule_name, 'complexity') or contains(rule_name, 'nesting') then 'Split deep and long functions into small ones' when contains(rule_name, 'println') then 'Log through a logging crate instead of printing'
+            when contains(rule_name, 'clone') then 'Borrow where a clone isn''t needed' else 'Work through the ' || n || ' findings of ' || rule_name end as suggestion from top where position <= 3
+        union all select 4, null, 'More than 50 findings in a thousand lines: plan a clean-up' from dense where d > 50""",
+}
