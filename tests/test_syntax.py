@@ -29,7 +29,7 @@ def test_nothing_to_say_about_trivial_files(text):
 
 
 def test_bodies_of_macros_are_opaque():
-    text = 'fn f() { println!("{}", data); let v = vec![temp, 5]; }'
+    text = 'fn main() { println!("{}", data); let v = vec![temp, 5]; }'
     assert not kinds(text, "empty_name") and not kinds(text, "integer", "5")
     assert [(n[2], n[5]) for n in kinds(text, "macro")] == [("println", 0), ("vec", 1)]
 
