@@ -31,7 +31,7 @@ def _running(group: str | None, value: str, into: str, schema: pa.Schema):
                 start[0] = keys[0].as_py() != last
                 last = keys[n - 1].as_py()
             before = np.maximum.accumulate(np.where(start, np.arange(n), -1))
-            base = np.where(before > 0, total[before - 1], np.where(before == 0, 0, -held))
+            base = np.where(before > 0, total[np.maximum(before - 1, 0)], np.where(before == 0, 0, -held))
             total = total - base
             held = int(total[-1])
             table = pa.Table.from_batches([batch]).append_column("part__", pa.array(np.full(n, part, np.int32))).append_column(into, pa.array(total))
