@@ -27,8 +27,12 @@ from lintlake.session import partitions, shared_table
 DEPTHS, MISS = (3, 5, 7), 1e-4
 #: Members of a region that are compared with each other; beyond it the region goes deeper.
 REGION = 1000
-#: Signature bytes that travel with a member, and how many deviations below the threshold their agreement may lie.
-SKETCH, DEVIATIONS = 48, 4.3
+#: Members from which on a region is compared as one table of pairs instead of by growing distance.
+TABLE = 24
+#: Minhashes of the sketch that travels with a member, two bits of each, and how many deviations below the threshold their agreement may lie. At a
+#: threshold of 0.6 this lets one pair in a hundred thousand at the threshold slip, and one in two thousand with a similarity of a third pass.
+SKETCH, DEVIATIONS = 320, 4.3
+_BYTES, _LOW = SKETCH // 4, np.uint64(0x5555555555555555)
 
 _TOKEN = regex.compile(r"[a-z0-9_]+")
 
@@ -91,8 +95,10 @@ def _grow(depth: int, n_trees: int, seed: int):
             sizes = lists.value_lengths().to_numpy()
             starts = np.cumsum(sizes) - sizes
             values = mixed(values)
-            sketch = np.stack([mixed(minima(values, starts, f)).astype(np.uint8) for f in sketch_factors], axis=1)
-            sketch = pa.array([row.tobytes() for row in sketch], pa.binary(SKETCH)).cast(pa.binary())
+            sketch = np.zeros((len(sizes), _BYTES), np.uint8)
+            for i, f in enumerate(sketch_factors):
+                sketch[:, i // 4] |= (mixed(minima(values, starts, f)) & np.uint64(3)).astype(np.uint8) << np.uint8(2 * (i % 4))
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_BYTES), len(sizes), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
             for tree in range(n_trees):
                 prefix = np.full(len(sizes), tree, np.uint64)
                 for f in factors[tree * depth : (tree + 1) * depth]:
@@ -103,12 +109,21 @@ def _grow(depth: int, n_trees: int, seed: int):
 
 
 def _least_agreement(threshold: float) -> int:
-    """Equal bytes of two sketches that a pair at the threshold falls short of only by DEVIATIONS standard deviations."""
-    return max(1, math.floor(SKETCH * threshold - DEVIATIONS * math.sqrt(SKETCH * threshold * (1 - threshold))))
+    """Equal two-bit values of two sketches that a pair at the threshold falls short of only by DEVIATIONS standard deviations."""
+    equal = threshold + (1 - threshold) / 4
+    return max(1, math.floor(SKETCH * equal - DEVIATIONS * math.sqrt(SKETCH * equal * (1 - equal))))
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two-bit values in which words of 64 bits differ."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x &= _LOW
+    return np.bitwise_count(x)
 
 
 def _near(ids: np.ndarray, sketches: np.ndarray, runs: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of neighbours in the same run whose sketches agree in at least ``least`` bytes, by growing distance in the order."""
+    """Pairs of neighbours in the same run whose sketches agree in at least ``least`` values, by growing distance in the order."""
     at = np.arange(len(ids))
     distance = 1
     while True:
@@ -118,7 +133,7 @@ def _near(ids: np.ndarray, sketches: np.ndarray, runs: np.ndarray, least: int) -
             return
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
-            part = part[(sketches[part] == sketches[part + distance]).sum(axis=1) >= least]
+            part = part[SKETCH - _differing(sketches[part], sketches[part + distance]).sum(axis=1, dtype=np.int32) >= least]
             part = part[ids[part] != ids[part + distance]]
             if len(part):
                 a, b = ids[part], ids[part + distance]
@@ -126,9 +141,17 @@ def _near(ids: np.ndarray, sketches: np.ndarray, runs: np.ndarray, least: int) -
         distance += 1
 
 
+def _agreeing(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of ``left`` and j of ``right`` whose sketches agree in at least ``least`` values, counted word by word over the whole table of pairs."""
+    differing = np.zeros((len(left), len(right)), np.uint16)
+    for a, b in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)):
+        differing += _differing(a[:, None], b[None, :])
+    return np.nonzero(differing <= SKETCH - least)
+
+
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sketch = batch.column("sketch")
-    raw = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH)
+    raw = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(batch.num_rows, _BYTES // 8)
     return batch.column("prefix").to_numpy(), batch.column("class_id").to_numpy(), raw
 
 
@@ -143,7 +166,7 @@ def _neighbours(least: int):
     """From rows sorted by prefix: candidate pairs (a, b); a row (prefix, a, null) for every member of a region that is too large."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, _BYTES // 8), np.uint64))
         large: int | None = None
 
         def regions(prefix: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -152,7 +175,13 @@ def _neighbours(least: int):
             deep = size > REGION
             if deep.any():
                 yield _found(prefix[deep], ids[deep], [None] * int(deep.sum()))
-            keep = (size > 1) & ~deep
+            for i in start[(size[start] > TABLE) & ~deep[start]].tolist() if len(start) else ():
+                part = slice(i, i + int(size[i]))
+                a, b = _agreeing(sketches[part], sketches[part], least)
+                a, b = ids[part][a[a < b]], ids[part][b[a < b]]
+                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+                yield _found([None] * len(a), a, b)
+            keep = (size > 1) & (size <= TABLE)
             for a, b in _near(ids[keep], sketches[keep], prefix[keep], least):
                 yield _found([None] * len(a), a, b)
 
@@ -188,13 +217,11 @@ def _tile(least: int):
         own = batch.column("own").to_numpy(zero_copy_only=False)
         same = batch.column("i")[0].as_py() == batch.column("j")[0].as_py()
         left, right = np.flatnonzero(own), np.flatnonzero(own if same else ~own)
-        out = []
-        for x in left:
-            y = right[right > x] if same else right
-            y = y[(sketches[y] == sketches[x]).sum(axis=1) >= least]
-            y = y[ids[y] != ids[x]]
-            out.append(_found([None] * len(y), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-        return pa.Table.from_batches(out, schema=_found([], [], []).schema)
+        x, y = _agreeing(sketches[left], sketches[right], least)
+        x, y = ids[left][x], ids[right][y]
+        keep = x < y if same else x != y
+        x, y = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+        return pa.Table.from_batches([_found([None] * len(x), x, y)])
 
     return compare
 
