@@ -21,14 +21,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or a local one where unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set: a temporary folder if driver and executors are on one machine (tests), else one below the warehouse, which is shared too.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = os.path.join(tempfile.gettempdir(), f"lintlake-{os.getpid()}")
-    return f"file://{local}"
+    if spark.sparkContext.master.startswith("local"):
+        return "file://" + os.path.join(tempfile.gettempdir(), f"lintlake-{os.getpid()}")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lintlake"
 
 
 _written: list[tuple[SparkSession, str]] = []
