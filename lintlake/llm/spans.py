@@ -38,7 +38,7 @@ SAMPLE, HOT_SHARE = 16, 1e-5
 _SENT = "kind string, bucket int, strings binary, windows binary, matches binary"
 _COLUMNS = ["kind", "bucket", "strings", "windows", "matches"]
 _MATCHES = pa.schema([("key", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_WINDOWS = pa.schema([("first", pa.uint64()), ("second", pa.uint64()), ("key", pa.string()), ("start", pa.int64()), ("known", pa.bool_())])
+_WINDOWS = pa.schema([("first", pa.uint64()), ("second", pa.uint64()), ("key", pa.string()), ("start", pa.int64()), ("places", pa.int64()), ("known", pa.bool_())])
 _STRINGS = pa.schema([("minimiser", pa.uint32()), ("key", pa.string()), ("start", pa.int64()), ("known", pa.bool_()), ("text", pa.string())])
 
 
@@ -133,7 +133,7 @@ class _Sender:
                 seen.append((keys[r], p))
 
     def _by_window(self, strings: list[tuple[str, str, int, bool]], matches: dict[str, list]) -> Iterator[tuple]:
-        """The windows of strings (text, key, start, known) of hot minimisers: distinct in this split, those with two records here as matches too."""
+        """The windows of strings (text, key, start, known) of hot minimisers. Those with two records here are matches and go on once; of the others all places go on, places that follow each other as one row."""
         size = np.fromiter((len(t) for t, *_ in strings), np.int64, len(strings))
         codes = code_points("".join(t for t, *_ in strings))
         counts = size - self.span + 1
@@ -154,11 +154,20 @@ class _Sender:
             matches["key"].append(listed[keys[i]])
             matches["start"].append(int(start[i]))
             matches["end"].append(int(start[i]) + self.span)
-        h1, h2, keys, start = h1[first], h2[first], keys[first], start[first]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (start[1:] != start[:-1] + 1))
+        new[first] = True
+        places = np.diff(np.append(np.flatnonzero(new), len(h1)))
+        shared = np.repeat(shared, np.diff(np.append(first, len(h1))))
+        begins = np.zeros(len(h1), bool)
+        begins[first] = True
+        rows = np.flatnonzero(new)
+        kept = begins[rows] | ~shared[rows]
+        rows, places = rows[kept], places[kept]
+        h1, h2, keys, start, shared = h1[rows], h2[rows], keys[rows], start[rows], shared[rows]
         bucket = (h1 % np.uint64(self.n_buckets)).astype(np.int64)
         for b in np.unique(bucket).tolist():
             i = np.flatnonzero(bucket == b)
-            yield b, _pack({"first": h1[i], "second": h2[i], "key": [listed[k] for k in keys[i]], "start": start[i], "known": shared[i]}, _WINDOWS)
+            yield b, _pack({"first": h1[i], "second": h2[i], "key": [listed[k] for k in keys[i]], "start": start[i], "places": places[i], "known": shared[i]}, _WINDOWS)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         self.cut()
@@ -321,8 +330,8 @@ def _match_windows(blobs: list[bytes], span: int) -> pa.Table:
     first = _runs(h1[order], h2[order])
     shared = np.repeat(_several(keys.indices.to_numpy()[order], known, first), np.diff(np.append(first, len(order)))) & ~known
     at = order[shared]
-    start = table.column("start").to_numpy()[at]
-    return pa.table({"key": table.column("key").take(pa.array(at)), "start": start, "end": start + span}).cast(_MATCHES)
+    start, places = table.column("start").to_numpy()[at], table.column("places").to_numpy()[at]
+    return pa.table({"key": table.column("key").take(pa.array(at)), "start": start, "end": start + places - 1 + span}).cast(_MATCHES)
 
 
 def _match(span: int):

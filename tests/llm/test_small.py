@@ -118,6 +118,20 @@ def test_windows_of_hot_minimisers_go_one_by_one(spark, monkeypatch):
     assert shared(spark, records, 60) == brute_spans(records, 60)
 
 
+def test_all_places_of_a_hot_window_are_shared_with_a_partner_in_another_split(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    header, block = word(90), word(130)
+    records = [("run", "x" * 9000 + word(50) + "x" * 80), ("xs", "y" + "x" * 100 + "y"), ("twice", header + block + word(70) + header + block), ("once", word(30) + header + block), ("alone", 2 * word(100))]
+    hot = np.unique(np.concatenate([spans.super_kmers([t], 60)[4] for _, t in records]))
+    monkeypatch.setattr(spans, "hot_minimisers", lambda *_: hot)
+    df = spark.createDataFrame(spark.sparkContext.parallelize([("k", k, t) for k, t in records], len(records)), "kind string, key string, text string")
+    got = {}
+    for r in spans.shared_spans(df, 60).collect():
+        got.setdefault(r.key, set()).update(range(r.start, r.end))
+    assert got == brute_spans(records, 60)
+
+
 def test_repetition_inside_one_record_is_no_match(spark):
     assert shared(spark, [("a", "abcdefghij" * 60), ("a", "abcdefghij" * 60)], 50) == {}
 
