@@ -93,7 +93,7 @@ _CONSTANT = re.compile(r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b")
 _IDENTIFIER = re.compile(r"\b[A-Za-z_]\w*")
 _TYPE, _BLANK = re.compile(r"a<[^<>\n]*>|&a"), re.compile(r"[^\S\n]+")
 _REPEATED = re.compile(r"(?:[0a],)+")
-_RECORD = re.compile(r"^[^(){}=;\"]+(?:,[^(){}=;\"]+){2,}$|^\s*[\[{].*[:,].*[\]}],?$")
+_NOT_FIELDS = re.compile(r"[(){}=;\"]")
 _CODE = re.compile(r"\b(?:fn|let|if|for|while|match|return|use|pub|impl|function|var|def|import)\b|[;]\s*$")
 
 
@@ -101,6 +101,15 @@ def _clip(x: float) -> float:
     return min(1.0, max(0.0, x))
 
 
+def _is_record(line: str) -> bool:
+    """Whether a stripped line is three or more fields with commas between, or a JSON array or object; by searches that are linear in its length."""
+    inside = line.removesuffix(",")
+    if line[:1] in ("[", "{") and inside[-1:] in ("]", "}") and ("," in inside[1:-1] or ":" in inside[1:-1]):
+        return True
+    first = line.find(",", 1)
+    return first > 0 and line.rfind(",", 0, len(line) - 1) > first + 1 and not _NOT_FIELDS.search(line)
+
+
 def _shapes(body: str) -> list[str]:
     """The lines of ``body`` without their names and values."""
     body = _NUMBER.sub("0", _STRING.sub("s", body))
@@ -117,7 +126,7 @@ def content_features(path: str, text: str) -> dict[str, float]:
     code = [x for x in lines if not x.startswith(("//", "/*", "*", "#"))]
     n = len(code)
     shapes: dict[str, int] = {}
-    for s in _shapes("\n".join(x[:400] for x in code)) if n else ():
+    for s in _shapes("\n".join(code)) if n else ():
         shapes[s] = shapes.get(s, 0) + 1
     counts = sorted(shapes.values(), reverse=True)
     entropy = -sum(c / n * math.log2(c / n) for c in counts) if n else 0.0
@@ -128,7 +137,7 @@ def content_features(path: str, text: str) -> dict[str, float]:
     bare = _STRING.sub("", body)
     names = _IDENTIFIER.findall(bare)
     literal = sum(map(len, _NUMBER.findall(bare))) + sum(len(b) for b in _BASE64.findall(body))
-    records = sum(1 for x in code if _RECORD.match(x[:400]) and not _CODE.search(x[:400]))
+    records = sum(1 for x in code if _is_record(x) and not _CODE.search(x))
     regular = _clip((sum(counts[:6]) / max(1, n) - 0.7) / 0.3) * _clip((n - 3) / 3)
     constants = _clip(len(_CONSTANT.findall(body)) / max(1, n) / 0.5)
     dunder = _clip(body.count("__") / max(1, n) / 0.5)

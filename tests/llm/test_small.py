@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -443,6 +444,25 @@ def test_kinds_of_files(spark):
     assert got[103].label == got[104].label == "vendored" and 900 not in got and len(got) == len(rows)
 
 
+def test_features_see_lines_to_their_ends():
+    field = '"name": "' + "x" * 500 + '"'
+    rows = "\n".join(f'{{"id": {i}, {field}}},' for i in range(10))
+    assert filekind.content_features("a.rs", rows)["records"] == 1.0
+    ids = "1, 2, 3, " * 60
+    assert filekind.content_features("a.rs", "\n".join(f"{ids}use a" for _ in range(10)))["records"] == 0.0
+    calls = "\n".join(f"run({'a + ' * 150}{'b - ' * i}c)" for i in range(20))
+    assert filekind.content_features("a.rs", calls)["varied"] > 0.9
+    assert not filekind._is_record("1," * 50_000 + "(")
+
+
+@settings(max_examples=300, deadline=None)
+@given(line=st.text("a,:[]{}(= ", max_size=9))
+def test_records_are_what_the_expression_says(line):
+    line = line.strip()
+    expression = r"^[^(){}=;\"]+(?:,[^(){}=;\"]+){2,}$|^\s*[\[{].*[:,].*[\]}],?$"
+    assert filekind._is_record(line) == bool(re.match(expression, line))
+
+
 def test_one_wrong_label_does_not_turn_its_file(spark):
     assert kinds(spark, file_rows(), [(5, "generated", "a")])[5].label == "handwritten"
 
