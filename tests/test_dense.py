@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import dense
 from lintlake.operators.dense import dense_key_stats, heavy_keys
+from lintlake.operators.queries import rules_of_files
 
 SCHEMA = "k string, r string, severity string, at timestamp, key_value string, n_rows long"
 
@@ -49,3 +50,9 @@ def test_heavy_keys_count_all_rows_and_never_null(spark):
     rows = [("a", "x", None, None)] * 2 + [(None, "x", None, None)] * 48 + [(f"k{i}", "y", None, None) for i in range(50)]
     got = {tuple(r) for r in heavy_keys(stats(spark, rows), 0.02).collect()}
     assert got == {("k", "a"), ("r", "x"), ("r", "y")}
+
+
+def test_files_without_a_rule_have_no_rules_but_rows(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("a", None), ("bare", None), ("bare", None), ("named", "null"), (None, "x")]
+    got = {tuple(r) for r in rules_of_files(spark.createDataFrame(rows, "file_path string, rule_name string")).collect()}
+    assert got == {("a", 2, 4), ("bare", 0, 2), ("named", 1, 1)}
