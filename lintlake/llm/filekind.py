@@ -91,6 +91,9 @@ _NUMBER = re.compile(r"\b0x[0-9a-fA-F]+|\b\d[\d_]*(?:\.\d+)?")
 _BASE64 = re.compile(r"[A-Za-z0-9+/=]{48,}")
 _CONSTANT = re.compile(r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b")
 _IDENTIFIER = re.compile(r"\b[A-Za-z_]\w*")
+#: Comments over lines with their ends, and lines before the first code that begin like comments of some language but are none.
+_COMMENTS = {"/*": "*/", "<!--": "-->"}
+_DIRECTIVE = re.compile(r"#!?\[|#(?:include|define|undef|ifn?def|if|elif|else|endif|pragma)\b")
 _TYPE, _BLANK = re.compile(r"a<[^<>\n]*>|&a"), re.compile(r"[^\S\n]+")
 _REPEATED = re.compile(r"(?:[0a],)+")
 _NOT_FIELDS = re.compile(r"[(){}=;\"]")
@@ -101,6 +104,26 @@ def _clip(x: float) -> float:
     return min(1.0, max(0.0, x))
 
 
+def _header(lines: list[str]) -> list[str]:
+    """What may be comments among the first five of the stripped lines, and all comment lines before the first line of code."""
+    out, end = [], ""
+    for i, x in enumerate(lines):
+        inside = bool(end)
+        if inside:
+            end = "" if end in x else end
+        else:
+            opened = next((c for c in _COMMENTS if x.startswith(c)), "")
+            end = _COMMENTS[opened] if opened and _COMMENTS[opened] not in x[len(opened) :] else ""
+        if inside or opened or x.startswith(("//", ";", "--")) or (x.startswith("#") and not _DIRECTIVE.match(x)):
+            out.append(x)
+        elif i < 5 and x[:1] in "/#*<;":
+            out.append(x)
+        if not inside and not opened and not x.startswith(("//", "#", ";", "--")):
+            out += [y for y in lines[i + 1 : 5] if y[:1] in "/#*<;" or y[:2] == "--"]
+            break
+    return out
+
+
 def _is_record(line: str) -> bool:
     """Whether a stripped line is three or more fields with commas between, or a JSON array or object; by searches that are linear in its length."""
     inside = line.removesuffix(",")
@@ -120,8 +143,7 @@ def _shapes(body: str) -> list[str]:
 def content_features(path: str, text: str) -> dict[str, float]:
     """The features that a file shows by itself; all are between 0 and 1."""
     lines = [x for x in (y.strip() for y in text.splitlines()) if x]
-    head = "\n".join(lines[:5])
-    head = "\n".join(x for x in head.split("\n") if x[:1] in "/#*<;" or x[:2] == "--")
+    head = "\n".join(_header(lines))
     denied = bool(_DENIED.search(head))
     code = [x for x in lines if not x.startswith(("//", "/*", "*", "#"))]
     n = len(code)

@@ -455,6 +455,18 @@ def test_features_see_lines_to_their_ends():
     assert not filekind._is_record("1," * 50_000 + "(")
 
 
+def test_headers_reach_to_the_first_line_of_code():
+    licence = [f"Line {i} of a licence." for i in range(30)]
+    marked = "Code generated from a.idl. DO NOT EDIT."
+    head = lambda *lines: filekind.content_features("a.rs", "\n".join(lines))["head_generated"]
+    assert head(*("// " + x for x in [*licence, marked]), "fn a() {}") == 1.0
+    assert head("/*", *licence, marked, "*/", "fn a() {}") == 1.0
+    assert head(*("// " + x for x in licence), "#![allow(dead_code)]", "// " + marked, "fn a() {}") == 1.0
+    assert head("/*", *licence, "*/", "fn a() {}", "// " + marked) == 0.0
+    assert head(*("// " + x for x in licence), f'const A: &str = "{marked}";') == 0.0
+    assert head("fn a() {}", "// " + marked) == 1.0
+
+
 @settings(max_examples=300, deadline=None)
 @given(line=st.text("a,:[]{}(= ", max_size=9))
 def test_records_are_what_the_expression_says(line):
