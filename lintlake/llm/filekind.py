@@ -27,6 +27,8 @@ MOST_LABELS = 20_000
 TELLING = 30
 #: Rows of a key beyond which a join sends the other side's row to every task instead; as a share of all rows, so the keys are few.
 HOT_ROWS, HOT_SHARE = 20_000, 1 / 2000
+#: Exclude globs that are matched by an expression in the plan; more are joined as a table.
+PLAN_GLOBS = 200
 
 # What headers and names say.
 _GENERATED = regex.compile(r"@generated|auto-?\s?generated|code generated|generated (?:by|from)|do not edit|do not touch|do not modify|machine[- ](?:made|generated)|auto-produced|produced by|wrote this file|regenerate with|changes will be lost|自动生成", regex.I)
@@ -234,23 +236,42 @@ def _vendored_lines(files: DataFrame) -> DataFrame:
     return joined.groupBy("id").agg(F.avg(elsewhere).alias("share"), F.count("*").alias("n_lines"))
 
 
-def valid_globs(patterns: DataFrame, column: str = "pattern") -> list[str]:
-    """Regular expressions of the globs that say anything: null, empty and invalid ones drop out, as do those that match every path.
-
-    A glob becomes an expression by escaping dots, then * for any run and ? for any character; it may match anywhere in the path. The patterns are a list
-    of configuration, so they come to the driver.
+def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for glob in batch.column("glob").to_pylist():
+            if not glob or not glob.strip("*? "):
+                continue
+            expression = glob.replace(".", r"\.").replace("*", ".*").replace("?", ".")
+            try:
+                regex.compile(expression)
+            except regex.error:
+                continue
+            out.append(expression)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["expression"])
+
+
+def valid_globs(patterns: DataFrame, column: str = "pattern") -> DataFrame:
+    """expression: the regular expressions of the distinct globs that say anything: null, empty and invalid ones drop out, as do those that match every path.
+
+    A glob becomes an expression by escaping dots, then * for any run and ? for any character; it may match anywhere in the path.
     """
-    out = []
-    for (glob,) in patterns.select(column).distinct().limit(10_000).collect():
-        if not glob or not glob.strip("*? "):
-            continue
-        expression = glob.replace(".", r"\.").replace("*", ".*").replace("?", ".")
-        try:
-            regex.compile(expression)
-        except regex.error:
-            continue
-        out.append(expression)
-    return sorted(out)
+    return patterns.select(F.col(column).alias("glob")).distinct().mapInArrow(_expressions, "expression string")
+
+
+def _with_matches(files: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    """``files`` with n_globs, the number of valid globs that match the path: a few as one expression in the plan, any number as a table to join with."""
+    if patterns is None:
+        return files.withColumn("n_globs", F.lit(0.0))
+    globs = shared_table(valid_globs(patterns), "globs")
+    if globs.count() <= PLAN_GLOBS:
+        n = F.lit(0.0)
+        for (g,) in globs.orderBy("expression").collect():
+            n = n + F.coalesce(F.col("path").rlike(g).cast("double"), F.lit(0.0))
+        return files.withColumn("n_globs", n)
+    pairs = files.select("id", "path").crossJoin(globs).where(F.expr("path rlike expression"))
+    counts = pairs.groupBy("id").agg(F.count("*").cast("double").alias("n_globs"))
+    return files.join(counts, "id", "left").na.fill(0.0, ["n_globs"])
 
 
 def file_features(files: DataFrame, key: Column, path: Column, text: Column, patterns: DataFrame | None = None) -> DataFrame:
@@ -260,11 +281,8 @@ def file_features(files: DataFrame, key: Column, path: Column, text: Column, pat
     own = shared_table(own.dropDuplicates(["id"]), "features")
     shared = _vendored_lines(own).withColumn("vendored_lines", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("share") - 0.3) / 0.2)) * F.least(F.lit(1.0), F.col("n_lines") / 5))
     out = own.drop("lines").join(shared.select("id", "vendored_lines"), "id", "left")
-    globs = valid_globs(patterns) if patterns is not None else []
-    excluded = F.lit(0.0)
-    for g in globs:
-        excluded = excluded + F.col("path").rlike(g).cast("double")
-    excluded = F.least(F.lit(1.0), excluded / 2)
+    out = _with_matches(out, patterns)
+    excluded = F.least(F.lit(1.0), F.col("n_globs") / 2)
     both = F.array(F.coalesce("vendored_lines", F.lit(0.0)), F.coalesce(excluded, F.lit(0.0)))
     return shared_table(out.select("id", "path", F.concat("own", both).alias("features")), "evidence")
 

@@ -455,6 +455,14 @@ def test_features_see_lines_to_their_ends():
     assert not filekind._is_record("1," * 50_000 + "(")
 
 
+def test_every_glob_counts_however_many_there_are(spark):
+    patterns = spark.createDataFrame([(f"none{i}/*",) for i in range(10_500)] + [(p,) for p in ("a/*", "a/?.rs", "b.rs", "*", "", "[x", None, "a/*")], "pattern string")
+    files = spark.createDataFrame([(1, "a/b.rs"), (2, "a/cc.rs"), (3, "c.rs"), (4, None), (5, "none10499/x")], "id long, path string")
+    got = {r.id: r.n_globs for r in filekind._with_matches(files, patterns).collect()}
+    few = {r.id: r.n_globs for r in filekind._with_matches(files, patterns.where("pattern is null or pattern not like 'none%'")).collect()}
+    assert got == {1: 3.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 1.0} and few == {**got, 5: 0.0}
+
+
 def test_headers_reach_to_the_first_line_of_code():
     licence = [f"Line {i} of a licence." for i in range(30)]
     marked = "Code generated from a.idl. DO NOT EDIT."
