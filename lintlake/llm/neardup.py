@@ -1,8 +1,8 @@
-"""Near-duplicate texts by an LSH forest over minhash signatures, with exact verification.
+"""Near-duplicate texts by banded LSH of three widths over minhash signatures, in place of a sorted LSH forest, with exact verification.
 
 Texts with the same set of shingles form one class with one representative, so a group of copies of any size is one
-entry from here on. Every tree of the forest is an order of the representatives by a signature of its own; those whose
-signatures share a prefix stand next to each other, and a region of common prefix gives the candidates. A region of more
+entry from here on. In every tree the first values of a representative's signature are mixed into one hash; those with
+equal hashes are a region and give the candidates. A region of more
 than ``REGION`` members is too shallow there: its members, and only they, go on to the next round, with longer
 prefixes and as many more trees as keep the chance to meet a partner (see ``trees``). What is still too large in the last
 round is compared whole, tile by tile. So no region is cut and no partner is dropped anywhere.
