@@ -7,7 +7,9 @@ Every node carries its running number among the nodes of its kind (and name, whe
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -33,7 +35,7 @@ _CLOSES = {"(": ")", "[": "]", "{": "}"}
 _SUFFIX = regex.compile(r"(?:[iu](?:8|16|32|64|128|size))$")
 # Fixed value: names that say nothing, digits after them allowed.
 _EMPTY_NAME = regex.compile(r"^(data|info|temp|tmp|val|value|item|thing|stuff|obj|object|manager|handler|helper|util|utils|a|b|c|d|e|f|g|h|test|func|function)(\d+)?$")
-#: Free functions whose length is assumed if their text can't be found.
+# Fixed value: lengths of free functions whose text can't be found; any other counts as 5 lines.
 _ASSUMED_LINES = {"main": 70, "process_data": 45, "bad_function_1": 35, "bad_function_2": 35}
 #: After one of these a vertical bar starts a closure.
 _BEFORE_CLOSURE = {"(", ",", "=", "{", ";", "=>", "return", "move", "}", "&&", "||", ":", "[", "else", "+", "&"}
@@ -108,6 +110,9 @@ class _Scan:
     def text(self, i: int) -> str:
         return self.tokens[i][1] if 0 <= i < self.n else ""
 
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if 0 <= i < self.n else ""
+
     def node(self, kind: str, i: int, name: str = "", depth: int = 0, n: int = 0, m: int = 0, counted_by: str = "") -> None:
         key = (kind, counted_by)
         self.counts[key] = self.counts.get(key, 0) + 1
@@ -180,7 +185,7 @@ class _Scan:
         parts = self.parts(i + 1, end - 1)
         self.node("generics", i, owner, n=len(parts))
         for a, _ in parts:
-            if owner in ("fn", "struct", "enum", "impl") and self.tokens[a][0] == "id" and self.text(a) != "const":
+            if owner in ("fn", "struct", "enum", "impl") and self.kind(a) == "id" and self.text(a) != "const":
                 self.node("type_param", a, self.text(a))
         return end
 
@@ -197,7 +202,7 @@ class _Scan:
         kind, t, _ = self.tokens[a]
         after = self.text(a + 1)
         if t == "let":
-            after = after if self.tokens[a + 1][0] != "id" or after in ("_",) else "name"
+            after = after if self.kind(a + 1) != "id" or after in ("_",) else "name"
             typed = self.text(self.until(a + 1, {":", "=", ";"})) == ":"
             return f"let {'typed ' * typed}{after}"
         if kind == "id" and after == "!":
@@ -237,8 +242,8 @@ class _Scan:
                     j = i + 1 + (self.text(i + 1) == "!")
                     end = self.match_of[j]
                     j += 1
-                    while j < end and (tokens[j][0] == "id" or self.text(j) == "::"):
-                        if tokens[j][0] == "id" and self.text(j) not in KEYWORDS:
+                    while j < end and (self.kind(j) == "id" or self.text(j) == "::"):
+                        if self.kind(j) == "id" and self.text(j) not in KEYWORDS:
                             self.ident(j, self.text(j))
                         j += 1
                     i = end + 1
@@ -248,7 +253,7 @@ class _Scan:
                     if t == "{":
                         if pending and pending[1] == level:
                             what, pending = pending[0], None
-                        elif tokens[i - 1][0] == "id" and prev not in KEYWORDS | {""} or prev in (">", "Self"):
+                        elif self.kind(i - 1) == "id" and prev not in KEYWORDS or prev in (">", "Self"):
                             what = "literal"
                         else:
                             what = "block"
@@ -269,7 +274,7 @@ class _Scan:
                         self.node("slice_type", i)
                     elif t == "[" and i in self.patterns:
                         self.node("list_pattern", i)
-                    elif t == "(" and i in self.patterns and not (tokens[i - 1][0] == "id" and prev not in KEYWORDS):
+                    elif t == "(" and i in self.patterns and not (self.kind(i - 1) == "id" and prev not in KEYWORDS):
                         if self.until(i + 1, {","}) < self.match_of[i] or self.match_of[i] == i + 1:
                             self.node("list_pattern", i)
                     stack.append([what, i, []])
@@ -302,7 +307,7 @@ class _Scan:
                     self.types.update(range(i + 1, self.until(i + 1, {"{", ";", "where"})))
                 elif t == "::" and self.text(i + 1) == "<":
                     self.types.update(range(i + 2, self.angle(i + 1) - 1))
-                elif t == "." and tokens[i + 1][0] == "id" if i + 1 < self.n else False:
+                elif t == "." and self.kind(i + 1) == "id":
                     name, after = self.text(i + 1), self.text(i + 2)
                     if name == "await":
                         self.node("await", i + 1, n=self.counts.get(("await", ""), 0) + 1, m=self.counts.get(("async", ""), 0))
@@ -318,11 +323,11 @@ class _Scan:
             elif kind == "id" and t not in KEYWORDS:
                 self.ident(i, t.removeprefix("r#"))
                 nxt = self.text(i + 1)
-                if nxt == "!" and self.text(i + 2) in _CLOSES or nxt == "!" and t == "macro_rules":
-                    j = i + 2
-                    if t == "macro_rules" and tokens[j][0] == "id":
-                        self.ident(j, self.text(j))
-                        j += 1
+                # a macro call, or the definition of one, whose name stands before the bracket
+                j = i + 2 + (t == "macro_rules" and self.kind(i + 2) == "id")
+                if nxt == "!" and self.kind(j) == "punct" and self.text(j) in _CLOSES:
+                    if j > i + 2:
+                        self.ident(j - 1, self.text(j - 1))
                     end = self.match_of[j]
                     begins = prev in ("{", "}", ";", "") and top in ("fn", "block", "file", "module")
                     statement = begins and (self.text(j) == "{" or self.text(end + 1) == ";")
@@ -340,7 +345,7 @@ class _Scan:
                     self.node("type_path", i, t)
             elif kind == "id":
                 nxt = self.text(i + 1)
-                if t == "fn" and i + 1 < self.n and tokens[i + 1][0] == "id":
+                if t == "fn" and self.kind(i + 1) == "id":
                     before = [self.text(x) for x in range(max(0, i - 4), i)]
                     method = top in ("impl", "trait", "extern")
                     if not method and _EMPTY_NAME.match(nxt.lower()):
@@ -368,7 +373,7 @@ class _Scan:
                     end = self.until(i + 1, {"in"})
                     self.patterns.update(range(i + 1, end))
                     names = [x for x in range(i + 1, end) if self.text(x) not in ("mut", "ref")]
-                    single = len(names) == 1 and tokens[names[0]][0] == "id" and self.text(names[0]) != "_"
+                    single = len(names) == 1 and self.kind(names[0]) == "id" and self.text(names[0]) != "_"
                     self.node("for_loop", i, n=int(single))
                     pending = ("block", level, "")
                 elif t in ("if", "while"):
@@ -412,12 +417,12 @@ class _Scan:
                         pending = (t, level, nxt)
                 elif t == "use":
                     pending = ("use", level, "")
-                elif t == "extern" and (nxt == "{" or tokens[i + 1][0] == "string" and self.text(i + 2) == "{"):
+                elif t == "extern" and (nxt == "{" or self.kind(i + 1) == "string" and self.text(i + 2) == "{"):
                     brace = i + 1 if nxt == "{" else i + 2
                     externs += sum(x == "fn" for _, x, _ in tokens[brace : self.match_of[brace]])
                     self.node("extern_block", i, n=externs)
                     pending = ("extern", level, "")
-                elif t in ("const", "static") and tokens[min(i + 1, self.n - 1)][0] == "id" and nxt not in ("fn", "unsafe", "extern", "async"):
+                elif t in ("const", "static") and self.kind(i + 1) == "id" and nxt not in ("fn", "unsafe", "extern", "async"):
                     end = self.until(i + 1, {"=", ";"})
                     colon = self.until(i + 1, {":"})
                     self.types.update(range(colon + 1, end))
@@ -429,25 +434,27 @@ class _Scan:
         return self.nodes
 
 
-def function_lines(lines: list[str], name: str) -> int:
-    """Lines of a function by the balance of braces from the line that has ``fn name`` and a parenthesis.
+class _Braces:
+    """How many braces are open after every line of a text."""
 
-    A signature over several lines ends it at once, as no brace is open yet; a later line that matches starts the count again.
-    """
-    balance = count = 0
-    found = False
-    for line in lines:
-        if f"fn {name}" in line and "(" in line:
-            found, count = True, 1
-            balance += line.count("{") - line.count("}")
-            if not balance and "{" in line and "}" in line:
-                break
-        elif found:
-            count += 1
-            balance += line.count("{") - line.count("}")
-            if not balance:
-                break
-    return count if found else _ASSUMED_LINES.get(name, 5)
+    def __init__(self, text: str) -> None:
+        self.lines = text.split("\n")
+        self.open = list(accumulate(x.count("{") - x.count("}") for x in self.lines))
+
+    def length_of(self, name: str) -> int:
+        """Lines of the function ``name``: from the last line that names it to the one after which no more braces are open than before the first.
+
+        Only lines that name it and close every brace they open, or later ones that don't name it, can be that last line: so a signature over
+        several lines ends with its second one. Without such a line the function reaches to the end of the text.
+        """
+        heads = [i for i, x in enumerate(self.lines) if f"fn {name}" in x and "(" in x]
+        if not heads:
+            return _ASSUMED_LINES.get(name, 5)
+        level = self.open[heads[0] - 1] if heads[0] else 0
+        named = set(heads)
+        level_again = (i for i in range(heads[0], len(self.lines)) if self.open[i] == level)
+        last = next((i for i in level_again if i not in named or {"{", "}"} <= set(self.lines[i])), len(self.lines) - 1)
+        return last + 1 - heads[bisect_right(heads, last) - 1]
 
 
 def nodes_of(text: str) -> list[tuple]:
@@ -458,9 +465,9 @@ def nodes_of(text: str) -> list[tuple]:
     """
     scan = _Scan(text)
     nodes = scan.run()
-    lines = text.split("\n")
+    braces = _Braces(text)
     for node in [x for x in nodes if x[1] in ("fn_free", "fn_unsafe")]:
-        scan.nodes.append((len(nodes), "lines", node[2], 1, 0, function_lines(lines, node[2]), 0, node[7]))
+        scan.nodes.append((len(nodes), "lines", node[2], 1, 0, braces.length_of(node[2]), 0, node[7]))
     groups: dict[str, list] = {}
     for node in nodes:
         if node[1] == "block" and node[2]:
@@ -485,14 +492,16 @@ _ARROW = pa.schema([
 
 
 def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (file_path, content): the nodes of every file; of a file that isn't source, none."""
+    """For mapInArrow over (file_path, content): the nodes of every file; of a file that can't be scanned a single one, of kind ``fault``, with the reason as its name."""
     for batch in batches:
         rows: list[tuple] = []
         for path, text in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist()):
             try:
                 rows.extend((path, *node) for node in nodes_of(text or ""))
-            except (Broken, IndexError, KeyError):
-                continue
+            except Broken as e:
+                rows.append((path, 0, "fault", f"not balanced: {e}", 1, 0, 0, 0, 1))
+            except Exception as e:  # noqa: BLE001 - one file's fault is reported as its row and doesn't end the job
+                rows.append((path, 0, "fault", f"{type(e).__name__}: {e}", 1, 0, 0, 0, 1))
             if len(rows) > 50_000:
                 yield _rows(rows)
                 rows = []

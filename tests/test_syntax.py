@@ -1,8 +1,16 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from lintlake.functions.syntax import Broken, function_lines, integer, nodes_of, parses, tokenize
+from lintlake.functions import syntax
+from lintlake.functions.syntax import Broken, integer, nodes_of, parses, tokenize
+
+
+def function_lines(lines, name):
+    return syntax._Braces("\n".join(lines)).length_of(name)
 
 
 def kinds(text, kind, name=None):
@@ -89,3 +97,54 @@ def test_length_of_a_function_with_its_signature_on_several_lines():
 def test_nested_and_deep_input_ends():
     nodes_of("fn f() { " + "if a { " * 300 + "}" * 300 + " }")
     nodes_of("let x = " + "(" * 500 + "1" + ")" * 500 + ";")
+
+
+_WORDS = "fn f main ( ) { } [ ] macro_rules ! extern \"C\" trait struct impl < > :: match => , ; | || let for in if else const static type = : & && -> 'a 1 # async move unsafe mod use dyn where enum . await x T loop while _".split()
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+
+
+def balanced(words):
+    out, open_ = [], []
+    for w in words:
+        if w in _CLOSING:
+            open_.append(_CLOSING[w])
+        elif w in _CLOSING.values():
+            if not open_:
+                continue
+            w = open_.pop()
+        out.append(w)
+    return " ".join(out + open_[::-1])
+
+
+@settings(max_examples=1500, deadline=2000)
+@given(st.lists(st.sampled_from(_WORDS), max_size=40))
+def test_the_scan_of_any_balanced_tokens_ends_without_a_fault(words):
+    text = balanced(words)
+    if parses(text):
+        nodes_of(text)
+
+
+@pytest.mark.parametrize("text", ["fn f() { macro_rules! }", "macro_rules!", "extern", "trait T { fn a(); } extern", "macro_rules! name", "fn", "let", "static", "a.", "#", "fn f() { macro_rules! ; x.unwrap() }"])
+def test_texts_that_end_early_are_scanned_to_their_end(text):
+    assert parses(text)
+    assert nodes_of(text)[-1][1] == "total"
+
+
+def test_a_file_that_cannot_be_scanned_gives_a_fault_and_not_nothing(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"file_path": ["broken.rs", "fine.rs", "odd.rs"], "content": ["fn f( {", "fn f() {}", "odd"]})
+    real = syntax.nodes_of
+    monkeypatch.setattr(syntax, "nodes_of", lambda t: real(t) if t != "odd" else [][1])
+    rows = pa.Table.from_batches(syntax.node_batches([batch])).to_pylist()
+    assert {r["file_path"]: r["name"].split(":")[0] for r in rows if r["kind"] == "fault"} == {"broken.rs": "not balanced", "odd.rs": "IndexError"}
+    assert any(r["file_path"] == "fine.rs" and r["kind"] == "fn_free" for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("lines", "length"),
+    [
+        (["fn a() { b() }"], 1), (["fn a(", "  x: u8,", ") {", "  b", "}"], 2), (["fn a() {", "  b", "}", "c"], 3), (["fn a() {", "  b"], 2), (["fn b() {}"], 5),
+        (["x {", "fn a() {", "}", "}"], 2), (["fn a() {", "fn a() {", "}", "}", "c"], 3),
+    ],
+)
+def test_length_of_a_function(lines, length):
+    assert function_lines(lines, "a") == length
