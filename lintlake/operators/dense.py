@@ -3,8 +3,8 @@
 Every input split encodes its keys with a dictionary of its own and adds its rows into dense numpy
 arrays (bincount for the counts, scatter-maximum for the latest time). What leaves a split is one array
 block per (field, block), the block being a hash range of keys, so a key that holds a third of all rows
-costs as much to shuffle as one with a single row. Blocks are summed by a distributed reduction of two
-levels: first over lanes of at most ``FAN_IN`` splits, then over the lanes.
+costs as much to shuffle as one with a single row. Blocks are summed by a distributed reduction over a tree in
+which no task adds more than the blocks of ``FAN_IN`` splits or inner nodes.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from lintlake.session import partitions, shared_table
 
 #: Keys that a split holds before it sends its blocks on and starts again.
 FLUSH_KEYS = 1 << 17
-#: Splits whose blocks one task of the first reduction level adds.
+#: Splits, then inner nodes, whose blocks one task of a reduction level adds.
 FAN_IN = 64
 
 _BLOCK_SCHEMA = "field_name string, block int, lane int, keys array<string>, counts binary, latest binary"
@@ -75,7 +75,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def _scatter(fields: list[str], width: int, n_blocks: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lane = TaskContext.get().partitionId() // FAN_IN
+        lane = TaskContext.get().partitionId()
         held = {f: _Dense(width) for f in fields}
         for batch in batches:
             if not batch.num_rows:
@@ -146,7 +146,10 @@ def dense_key_stats(df: DataFrame, fields: dict[str, Column], kinds: dict[str, C
     time = F.coalesce(F.unix_micros(latest.cast("timestamp")), F.lit(_NO_TIME)) if latest is not None else F.lit(_NO_TIME)
     rows = df.select(*(c.cast("string").alias(f) for f, c in fields.items()), kind.cast("long").alias("kind__"), time.cast("long").alias("time__"))
     blocks = rows.mapInArrow(_scatter(list(fields), width, 4 * partitions(df.sparkSession)), _BLOCK_SCHEMA)
-    if rows.rdd.getNumPartitions() > FAN_IN:
+    lanes = rows.rdd.getNumPartitions()
+    while lanes > FAN_IN:
+        lanes = -(-lanes // FAN_IN)
+        blocks = blocks.withColumn("lane", F.floor(F.col("lane") / FAN_IN).cast("int"))
         blocks = blocks.groupBy("field_name", "block", "lane").applyInArrow(_sum_blocks(width), _BLOCK_SCHEMA)
     blocks = blocks.groupBy("field_name", "block").applyInArrow(_sum_blocks(width), _BLOCK_SCHEMA)
     schema = "field_name string, key_value string, n_rows long, " + "".join(f"{n} long, " for n in names) + "latest_us long"
