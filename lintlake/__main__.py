@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-l", "--lang", default="en-US")
     p.add_argument("-t", "--top", type=int, default=5, help="files with the most issues, 0 for none")
     p.add_argument("-i", "--issues", type=int, default=5, help="rules (Markdown: issues) listed for a file, 0 for all")
+    p.add_argument("--seed", type=int, default=0, help="which of the remarks about a category is picked")
     for flag in ("verbose", "summary", "markdown", "harsh", "advice", "hall-of-shame", "suggestions"):
         p.add_argument(f"--{flag}", action="store_true")
     a = vars(p.parse_args(argv))

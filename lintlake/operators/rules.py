@@ -46,6 +46,10 @@ DANGEROUS = [
 C_OPERATIONS = ["CString", "CStr", "c_char", "c_void", "c_int", "c_long", "std::ffi::", "libc::", "std::os::raw::"]
 LIBRARY_LOADS = ["libloading", "dlopen", "LoadLibrary", "GetProcAddress"]
 
+#: A row's place is rule, place in the file, part of the rule, in this order and as one number, so no two rows of a file share one: places of a rule in a
+#: file, parts of a rule, and the place after all nodes and lines where measures of the whole text stand.
+_ORDER, _PARTS, _AFTER_NODES = 10**14, 16, 10**12
+
 OUTPUT = ["file_path", "seq", "line", "col", "rule_name", "severity", "roast_level", "subject"]
 M, S, N = "Mild", "Spicy", "Nuclear"
 GENTLE, SARCASTIC, SAVAGE = "Gentle", "Sarcastic", "Savage"
@@ -78,7 +82,7 @@ def _value(x, kind: str) -> Column:
 
 @dataclass(frozen=True)
 class Emission:
-    """Report ``times`` rows where the condition holds on a row of nodes or files."""
+    """Report ``times`` rows where the condition holds on a row of nodes (of ``kinds``) or files."""
 
     source: str
     when: Column
@@ -89,14 +93,16 @@ class Emission:
     col: Column | int = 1
     seq: Column | int = 0
     times: Column | int = 1
+    kinds: tuple[str, ...] = ()
 
-    def struct(self, rule: str, order: int) -> Column:
-        """An array of the rows that this emission gives for one input row, or null."""
-        row = F.struct(
-            (_value(self.seq, "long") + order).alias("seq"), _value(self.line, "int").alias("line"), _value(self.col, "int").alias("col"), F.lit(rule).alias("rule_name"),
+    def struct(self, rule: str, order: Column) -> Column:
+        """An array of the rows that this emission gives for one input row, or null; ``order`` is the place of the first, further ones follow it."""
+        row = lambda seq: F.struct(
+            seq.alias("seq"), _value(self.line, "int").alias("line"), _value(self.col, "int").alias("col"), F.lit(rule).alias("rule_name"),
             _value(self.severity, "string").alias("severity"), _value(self.roast, "string").alias("roast_level"), _value(self.subject, "string").alias("subject"),
         )
-        rows = F.array(row) if isinstance(self.times, int) else F.array_repeat(row, _value(self.times, "int"))
+        times = F.greatest(_value(self.times, "int"), F.lit(1))
+        rows = F.array(row(order)) if isinstance(self.times, int) else F.transform(F.sequence(F.lit(0), times - 1), lambda copy: row(order + copy * _PARTS))
         return F.when(self.when, rows)
 
 
@@ -120,8 +126,8 @@ def register(name: str, *parts) -> RuleSpec:
 
 
 def nodes(kinds: str | list[str], condition: Column | None, severity, roast, subject=None, line=1, col=1) -> Emission:
-    here = F.col("kind").isin([kinds] if isinstance(kinds, str) else kinds)
-    return Emission("node", here if condition is None else here & condition, severity, roast, subject, line, col, F.col("seq"))
+    kinds = (kinds,) if isinstance(kinds, str) else tuple(kinds)
+    return Emission("node", F.lit(True) if condition is None else condition, severity, roast, subject, line, col, F.col("seq"), kinds=kinds)
 
 
 def beyond(kind: str, limit: int, severity: str, roast: str, name: str | None = None) -> Emission:
@@ -133,7 +139,7 @@ def beyond(kind: str, limit: int, severity: str, roast: str, name: str | None =
 def counts(literals: list[str], limit: int, severity, roast) -> Emission:
     """One row if the literals occur more than ``limit`` times in the text; the severity may be a function of the count."""
     n = occurrences_of(F.col("content"), literals)
-    return Emission("file", n > limit, severity(n) if callable(severity) else severity, roast, n, seq=1_000_000)
+    return Emission("file", n > limit, severity(n) if callable(severity) else severity, roast, n, seq=_AFTER_NODES)
 
 
 def _total(name: str, limit: int, severity: str, roast: str) -> Emission:
@@ -288,28 +294,36 @@ def rules() -> dict[str, RuleSpec]:
     return RULES
 
 
-_ORDER = 10_000_000
+def faults(files: DataFrame) -> DataFrame:
+    """file_path and reason of the files that are given as parsed but can't be scanned; no rule sees their nodes, rules on text and lines do."""
+    return Corpus(files).nodes.where("kind = 'fault'").select("file_path", F.col("name").alias("reason"))
 
 
 def all_issues(files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Issues of all rules (or the named ones) over a table of files: OUTPUT plus severity_rank and emit_seq, the order of rules, then of places in the file.
 
-    Files that don't parse give none, null contents neither, and an empty table gives an empty one. Two parts of the plan read the files for emissions, one
+    Within a file emit_seq is unique. Files that don't parse give none, null contents neither, and an empty table gives an empty one; ``faults`` lists those that
+    count as parsed but can't be scanned. Two parts of the plan read the files for emissions, one
     of them through the parser; further parts are those of line rules.
     """
     corpus = Corpus(files)
-    emissions: dict[str, list[Column]] = {"node": [], "file": []}
+    by_kind: dict[str, list[Column]] = {}
+    on_files: list[Column] = []
     parts = []
     for i, (name, spec) in enumerate(rules().items()):
         if names is not None and name not in names:
             continue
-        for reported, e in spec.emissions:
-            emissions[e.source].append(e.struct(reported, i * _ORDER))
-        parts += [plan(corpus).withColumn("seq", F.col("seq") + i * _ORDER) for plan in spec.plans]
-    for source, found in (("node", emissions["node"]), ("file", emissions["file"])):
-        if found:
-            df = corpus.nodes if source == "node" else corpus.parsed
-            rows = F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
-            parts.append(df.select("file_path", F.inline(rows)))
+        for part, (reported, e) in enumerate(spec.emissions, len(spec.plans)):
+            rows = e.struct(reported, _value(e.seq, "long") * _PARTS + (i * _ORDER + part))
+            for found in [by_kind.setdefault(k, []) for k in e.kinds] if e.source == "node" else [on_files]:
+                found.append(rows)
+        parts += [plan(corpus).withColumn("seq", F.col("seq") * _PARTS + (i * _ORDER + part)) for part, plan in enumerate(spec.plans)]
+    found = lambda rows: F.flatten(F.filter(F.array(*rows), lambda x: x.isNotNull())) if len(rows) > 1 else rows[0]
+    if by_kind:
+        # a node meets the emissions of its own kind only
+        rows = F.coalesce(*(F.when(F.col("kind") == k, found(r)) for k, r in by_kind.items()))
+        parts.append(corpus.nodes.where(F.col("kind").isin(list(by_kind))).select("file_path", F.inline(rows)))
+    if on_files:
+        parts.append(corpus.parsed.select("file_path", F.inline(found(on_files))))
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("severity_rank", severity_rank(F.col("severity"))).withColumnRenamed("seq", "emit_seq")

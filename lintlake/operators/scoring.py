@@ -41,27 +41,32 @@ def quality_level(score: Column) -> Column:
     return F.when(whole <= 20, "Excellent").when(whole <= 40, "Good").when(whole <= 60, "Average").when(whole <= 80, "Poor").otherwise("Terrible")
 
 
-def _wide(issues: DataFrame, lines: DataFrame | int, by: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+def score_status(score: Column) -> Column:
+    """The band that a category's score falls in, as shown beside it; scores beyond 100 fall in none of the named bands and get the last one."""
+    whole = score.cast("int")
+    bands = F.when(whole.between(81, 100), "Terrible, urgent fixes needed").when(whole.between(61, 80), "Poor, refactoring recommended")
+    bands = bands.when(whole.between(41, 60), "Average, needs improvement").when(whole.between(21, 40), "Good, room for improvement")
+    return bands.otherwise("Excellent, keep it up")
+
+
+def _wide(issues: DataFrame, lines: DataFrame | Column | int, by: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """One row a group with all counts in a single aggregation, and per category the expression of its score."""
-    category = category_of(F.col("rule_name"))
-    counts = [F.count_if(category == name).alias(f"in_{name}") for name in CATEGORIES]
+    counts = [F.count_if(F.col("rule_name").isin(v[4])).alias(f"in_{name}") for name, v in CATEGORIES.items()]
     rows = issues.groupBy(*by).agg(F.count("*").alias("n_all"), *counts)
-    if isinstance(lines, int):
-        total = F.lit(lines)
-    else:
+    if isinstance(lines, DataFrame):
         rows = rows.join(lines.select(*by, "total_lines"), by, "left")
-        total = F.coalesce("total_lines", F.lit(0))
-    scores = {}
-    for name, (_, good, average, poor, _) in CATEGORIES.items():
-        score = category_score(density(F.col(f"`in_{name}`"), total), good, average, poor)
-        scores[name] = F.when(total > 0, score).otherwise(0.0)
-    return rows, scores
+    else:
+        rows = rows.withColumn("total_lines", lines if isinstance(lines, Column) else F.lit(lines))
+    # densities are columns of their own: a score names its density many times
+    dense = [density(F.col(f"`in_{name}`"), F.coalesce("total_lines", F.lit(0))).alias(f"d_{name}") for name in CATEGORIES]
+    rows = rows.select(*by, "n_all", *(F.col(f"`in_{name}`") for name in CATEGORIES), *dense)
+    return rows, {name: category_score(F.col(f"`d_{name}`"), good, average, poor) for name, (_, good, average, poor, _) in CATEGORIES.items()}
 
 
-def category_scores(issues: DataFrame, lines: DataFrame | int, by: list[str] = []) -> DataFrame:  # noqa: B006
+def category_scores(issues: DataFrame, lines: DataFrame | Column | int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """by, category, category_weight, n_issues, category_score of all seven categories of every group, those without issues too.
 
-    ``lines``: total lines, or a table (by, total_lines) where groups are scored. Issues of rules outside the categories don't count here.
+    ``lines``: total lines (a number or a scalar column), or a table (by, total_lines) where groups are scored. Issues of rules outside the categories don't count here.
     """
     rows, scores = _wide(issues, lines, by)
     each = [
@@ -71,7 +76,7 @@ def category_scores(issues: DataFrame, lines: DataFrame | int, by: list[str] = [
     return rows.select(*by, F.inline(F.array(*each)))
 
 
-def total_scores(issues: DataFrame, lines: DataFrame | int, by: list[str] = []) -> DataFrame:  # noqa: B006
+def total_scores(issues: DataFrame, lines: DataFrame | Column | int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """by, total_score and quality_level of every group that has issues; without ``by`` one row, for an empty table 100 and Excellent."""
     rows, scores = _wide(issues, lines, by)
     total = sum((score * CATEGORIES[name][0] for name, score in scores.items()), F.lit(0.0)) / sum(v[0] for v in CATEGORIES.values())

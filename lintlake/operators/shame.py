@@ -71,7 +71,7 @@ def anonymous_stats(issues: DataFrame, buckets: int = 100) -> DataFrame:
     return issues.groupBy(name.alias("developer")).agg(F.count("*").alias("n_issues"))
 
 
-def improvement_suggestions(stats: DataFrame, total_density: float = 0.0) -> DataFrame:
+def improvement_suggestions(stats: DataFrame, total_density: Column | float = 0.0) -> DataFrame:
     """position, rule_name, suggestion for the three most common patterns, one more line above 50 issues in a thousand lines, a default if there is nothing."""
     rule, n = F.col("rule_name"), F.col("n_issues")
     text = (
@@ -85,8 +85,9 @@ def improvement_suggestions(stats: DataFrame, total_density: float = 0.0) -> Dat
     spark = stats.sparkSession
     top = top_patterns(stats, 3).withColumn("position", F.row_number().over(Window.orderBy(F.desc("n_issues"), "rule_name")))
     out = top.select(F.col("position").cast("int").alias("position"), "rule_name", text.alias("suggestion"))
-    if total_density > 50:
-        out = out.unionByName(spark.createDataFrame([(4, None, "More than 50 findings in a thousand lines: plan a clean-up")], "position int, rule_name string, suggestion string"))
+    dense = total_density if isinstance(total_density, Column) else F.lit(total_density)
+    more = spark.createDataFrame([(4, None, "More than 50 findings in a thousand lines: plan a clean-up")], "position int, rule_name string, suggestion string")
+    out = out.unionByName(more.where(dense > 50))
     default = spark.createDataFrame([(1, None, "Nothing stands out, keep it up")], "position int, rule_name string, suggestion string")
     return out.unionByName(default.join(out.limit(1).select(F.lit(1).alias("position")), "position", "left_anti"))
 
@@ -108,6 +109,27 @@ def rule_groups(issues: DataFrame, n: int = 0, by_count: bool = False) -> DataFr
     return out.where(F.col("position") <= n) if n else out
 
 
+def group_details(issues: DataFrame, n: int = 0, names: int = 5) -> DataFrame:
+    """rule_groups with what a report says of a group: least and greatest depth of nesting rules (null for others), the first ``names`` subjects
+    of naming rules in their order (an empty list for others) and whether there are more rows than these.
+
+    A table without subject or message has no names or depths. Depths are the first number of a subject or message that names a depth, or a subject that is a number. Names come from a window that ends at
+    ``names``, so no group is gathered in one place.
+    """
+    rows = issues.withColumns({c: F.lit(None).cast("string") for c in ("subject", "message") if c not in issues.columns} | {"file_name": basename(F.col("file_path"))})
+    nesting, naming = F.col("rule_name").contains("nesting"), F.col("rule_name").contains("naming") | F.col("rule_name").contains("single-letter")
+    said = F.regexp_extract(F.coalesce("message", F.lit("")), r"(?:depth|深度): (\d+)", 1)
+    depth = F.when(nesting, F.coalesce(F.when(F.col("subject").rlike(r"^\d{1,9}$"), F.col("subject")), F.when(said != "", said)).try_cast("int"))
+    depths = rows.groupBy("file_name", "rule_name").agg(F.min(depth).alias("least_depth"), F.max(depth).alias("greatest_depth"))
+    order = Window.partitionBy("file_name", "rule_name").orderBy(F.desc_nulls_last(severity_rank(F.col("severity"))), "emit_seq", "issue_id")
+    named = rows.where(naming & F.col("subject").isNotNull()).withColumn("at", F.row_number().over(order)).where(F.col("at") <= names)
+    listed = named.groupBy("file_name", "rule_name").agg(F.array_sort(F.collect_list(F.struct("at", "subject"))).alias("listed"))
+    listed = listed.select("file_name", "rule_name", F.col("listed.subject").alias("names"))
+    out = rule_groups(issues, n).join(depths, ["file_name", "rule_name"], "left").join(listed, ["file_name", "rule_name"], "left")
+    out = out.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    return out.withColumn("more_names", F.col("rule_name").isNotNull() & naming & (F.size("names") < F.col("n_issues")))
+
+
 def issues_per_file(issues: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` issues of every base name by severity, then order of emission and issue_id; 0 keeps all."""
     rows = issues.withColumn("file_name", basename(F.col("file_path"))).withColumn("severity_rank", severity_rank(F.col("severity")))

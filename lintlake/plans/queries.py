@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import severity_name
 from lintlake.operators import rules, scoring, shame, texts
+from lintlake.plans.analysis import analyze
 from lintlake.plans.oracle import SQL
-from lintlake.session import table
-from lintlake.sources.files import excluded, is_rust, stored_files
+from lintlake.session import shared_table, table
+from lintlake.sources.files import excluded, is_rust, kept_by_owner, stored_files
 
 QUERIES: dict = {}
 
@@ -20,17 +21,19 @@ def _query(f):
 
 
 def issue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct issues (one row an issue_id) with severities under their three names, unknown ones null."""
-    rows = table(spark, sf_dir, "issues").select("issue_id", "file_path", "rule_name", "line", "emit_seq", "subject", "message", severity_name(F.col("severity")).alias("severity"))
-    return rows.dropDuplicates(["issue_id"])
+    """The distinct issues (one row an issue_id, of repeated ones the last loaded) with severities under their three names, unknown ones null."""
+    columns = ["file_path", "rule_name", "line", "emit_seq", "subject", "message", severity_name(F.col("severity")).alias("severity")]
+    rows = table(spark, sf_dir, "issues").groupBy("issue_id").agg(F.max(F.struct("loaded_at", *columns)).alias("last"))
+    return rows.select("issue_id", *(f"last.{c}" for c in ("file_path", "rule_name", "line", "emit_seq", "subject", "message", "severity")))
 
 
 def _with_path(df: DataFrame) -> DataFrame:
     return df.where("file_path is not null")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> int:
-    return int(stored_files(spark, sf_dir).agg(F.coalesce(F.sum("line_count"), F.lit(0))).first()[0])
+def _lines(spark: SparkSession, sf_dir: str) -> Column:
+    """All lines, as a scalar subquery: nothing runs while the query is put together."""
+    return stored_files(spark, sf_dir).agg(F.coalesce(F.sum("line_count"), F.lit(0))).scalar()
 
 
 # Sources and filters
@@ -58,6 +61,18 @@ def exclude_glob_filter(spark, sf_dir):
     return table(spark, sf_dir, "source_files").where(~excluded(F.col("file_path"), patterns)).select("file_path").distinct()
 
 
+@_query
+def exclude_patterns_by_owner(spark, sf_dir):
+    """The exclude globs of the table, each owner's by themselves."""
+    return kept_by_owner(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "exclude_patterns"))
+
+
+@_query
+def scan_faults(spark, sf_dir):
+    """Files that are stored as parsed but can't be scanned, with the reason."""
+    return rules.faults(stored_files(spark, sf_dir))
+
+
 @_query
 def harsh_filter(spark, sf_dir):
     return shame.harsh(issue_facts(spark, sf_dir)).select("issue_id", "severity")
@@ -95,6 +110,21 @@ def all_rules(spark, sf_dir):
     return rules.all_issues(stored_files(spark, sf_dir)).groupBy("file_path", "rule_name", "severity").agg(F.count("*").alias("n_issues"))
 
 
+@_query
+def analysis_keys(spark, sf_dir):
+    """A whole analysis of the stored files: rows whose key or issue_id is not their own. There are none."""
+    keys = analyze(stored_files(spark, sf_dir)).groupBy("file_path", "emit_seq").agg(F.count("*").alias("n"), F.min("issue_id").alias("issue_id"))
+    ids = keys.groupBy("issue_id").agg(F.sum("n").alias("rows"), F.count("*").alias("keys"))
+    return ids.agg(F.coalesce(F.sum(F.col("rows") - F.col("keys")), F.lit(0)).alias("shared_keys"), F.coalesce(F.sum(F.col("keys") - 1), F.lit(0)).alias("shared_ids"))
+
+
+@_query
+def analysis_score(spark, sf_dir):
+    """From the stored files to their score: the rules, then the score over their own lines, without a stored issues table."""
+    files = stored_files(spark, sf_dir)
+    return scoring.total_scores(analyze(files), _lines(spark, sf_dir)).withColumn("total_score", F.round("total_score", 6))
+
+
 # Scores
 
 
@@ -111,7 +141,7 @@ def severity_by_rule(spark, sf_dir):
 @_query
 def issue_density(spark, sf_dir):
     n = issue_facts(spark, sf_dir).agg(F.count("*").alias("n"))
-    return n.select(F.round(scoring.density(F.col("n"), F.lit(_lines(spark, sf_dir))), 6).alias("density"))
+    return n.select(F.round(scoring.density(F.col("n"), _lines(spark, sf_dir)), 6).alias("density"))
 
 
 @_query
@@ -143,6 +173,21 @@ def worst_categories(spark, sf_dir):
     return scoring.worst_categories(scores).select("category", F.round("category_score", 6).alias("category_score"))
 
 
+@_query
+def category_status(spark, sf_dir):
+    """The band of every category's score and, from 60 on, the remark that the seed picks."""
+    scores = scoring.category_scores(issue_facts(spark, sf_dir), _lines(spark, sf_dir))
+    status = scoring.score_status(F.col("category_score"))
+    return scores.select("category", status.alias("status"), texts.remark(F.col("category"), F.col("category_score"), F.lit(7)).alias("remark"))
+
+
+@_query
+def remark_picks(spark, sf_dir):
+    """The remark that every file's own seed, its number of issues, picks for the duplication category."""
+    counts = issue_facts(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("n"))
+    return counts.select("file_path", texts.remark(F.lit("duplication"), F.lit(100.0), F.col("n")).alias("remark"))
+
+
 @_query
 def score_suggestions(spark, sf_dir):
     scores = scoring.category_scores(issue_facts(spark, sf_dir), _lines(spark, sf_dir))
@@ -243,7 +288,7 @@ def anonymous_stats(spark, sf_dir):
 @_query
 def improvement_suggestions(spark, sf_dir):
     facts = issue_facts(spark, sf_dir).where("rule_name is not null")
-    density = shame.shame_density(facts, stored_files(spark, sf_dir)).first()["density"]
+    density = shame.shame_density(facts, stored_files(spark, sf_dir)).select("density").scalar()
     return shame.improvement_suggestions(shame.pattern_stats(facts), density)
 
 
@@ -262,6 +307,13 @@ def rule_groups_by_count(spark, sf_dir):
     return shame.rule_groups(issue_facts(spark, sf_dir).where("file_path is not null and rule_name is not null"), by_count=True).drop("worst")
 
 
+@_query
+def rule_group_details(spark, sf_dir):
+    """The rule groups of every base name with their first names and the range of their depths."""
+    rows = shame.group_details(issue_facts(spark, sf_dir).where("file_path is not null and rule_name is not null"))
+    return rows.select("file_name", "rule_name", "n_issues", "worst", "least_depth", "greatest_depth", F.array_join("names", ", ").alias("names"), "more_names")
+
+
 @_query
 def issues_per_file_topn(spark, sf_dir):
     return shame.issues_per_file(_with_path(issue_facts(spark, sf_dir))).select("file_name", "issue_id", "position")
@@ -269,10 +321,9 @@ def issues_per_file_topn(spark, sf_dir):
 
 @_query
 def severity_sorted_issues(spark, sf_dir):
-    """The global order with positions: range-sorted, positions by counts of the partitions before."""
+    """The global order with positions: range-sorted and written once, so that the places inside the partitions stay; positions by counts of the partitions before."""
     rows = shame.severity_sorted(issue_facts(spark, sf_dir)).select("issue_id", "severity_rank", F.monotonically_increasing_id().alias("id"))
-    part = F.shiftright("id", 33)
-    rows = rows.withColumn("part", part)
+    rows = shared_table(rows, "sorted").withColumn("part", F.shiftright("id", 33))
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
     joined = rows.join(F.broadcast(before), "part")

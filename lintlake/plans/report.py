@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.text import SEVERITIES, progress_bar
 from lintlake.operators import scoring, shame
-from lintlake.operators.texts import ADVICE, LABELS, LANGUAGES, message_pool, pick
+from lintlake.operators.texts import ADVICE, LABELS, LANGUAGES, LEGEND, message_pool, pick, remark
 from lintlake.session import shared_table
 
 
@@ -24,6 +25,7 @@ class Options:
     advice: bool = False
     hall_of_shame: bool = False
     suggestions: bool = False
+    seed: int = 0
 
 
 class Report:
@@ -61,9 +63,16 @@ class Report:
         rows = [(label("files"), self.n_files), (label("lines"), self.lines), (label("nuclear_issues"), c["n_nuclear"]), (label("spicy_issues"), c["n_spicy"]), (label("mild_issues"), c["n_mild"])]
         rows += [(label("total"), c["n_issues"]), (label("density"), c["n_issues"] / self.lines * 1000 if self.lines else 0.0), (label("score"), f"{self.score['total_score']:.1f} ({self.score['quality_level']})")]
         out = [self.heading(label("summary")), *self.table(["", ""], rows)]
-        scores = scoring.category_scores(self.issues, self.lines).orderBy("category").collect() if c["n_issues"] else []
-        bar = lambda x: "█" * int(x / 100 * 20) + "░" * (20 - int(x / 100 * 20))
-        return [*out, *([self.heading(label("categories"), 3), *self.table([label("categories"), label("score"), ""], [(s["category"], s["category_score"], bar(s["category_score"])) for s in scores])] if scores else [])]
+        if not c["n_issues"]:
+            return out
+        column = F.col("category_score")
+        scores = scoring.category_scores(self.issues, self.lines).orderBy("category")
+        said = remark(F.col("category"), column, F.lit(self.o.seed), self.o.lang)
+        cells = scores.select("category", column, progress_bar(column).alias("bar"), scoring.score_status(column).alias("status"), F.coalesce(said, F.lit("")).alias("remark")).collect()
+        second = int(self.o.lang == LANGUAGES[1])
+        named = {english: (english, chinese)[second] for _, english, chinese in LEGEND}
+        out += [self.heading(label("categories"), 3), *self.table([label("categories"), label("score"), "", label("status"), ""], [(*r[:3], named[r["status"]], r["remark"]) for r in cells])]
+        return [*out, self.heading(label("legend"), 3), *self.table([label("score"), label("status")], [(band, texts[second]) for band, *texts in LEGEND])]
 
     def files_part(self) -> list[str]:
         out = []
@@ -81,16 +90,23 @@ class Report:
             listed = listed.withColumn("text", pick(message_pool(F.col("rule_name"), self.o.lang), F.coalesce("line", F.lit(0))))
             rows = listed.orderBy("file_name", "position").select("file_name", "severity", "rule_name", "line", "text")
         else:
-            listed = shame.rule_groups(self.shown, self.o.issues)
-            rows = listed.orderBy("file_name", "position").select("file_name", "rule_name", "n_issues")
+            rows = shame.group_details(self.shown, self.o.issues).orderBy("file_name", "position")
         last = None
         for row in rows.toLocalIterator():
             if row["file_name"] != last:
                 last = row["file_name"]
                 out.append(f"### {last}" if self.o.markdown else f"{last}:")
-            out.append(f"- **{row['severity']}** {row['rule_name']}, {row['line']}: {row['text']}" if self.o.markdown else f"  {row['rule_name']}: {row['n_issues']}")
+            out.append(f"- **{row['severity']}** {row['rule_name']}, {row['line']}: {row['text']}" if self.o.markdown else self.group_line(row))
         return [*out, ""]
 
+    def group_line(self, row) -> str:
+        """One rule of a file: how often, how bad at worst, and the names or depths that it is about."""
+        low, high, names = row["least_depth"], row["greatest_depth"], ", ".join([*row["names"], *(["..."] if row["more_names"] and row["names"] else [])])
+        depths = "" if low is None else f"{self.label('depth')} {low}" if low == high else f"{self.label('depth')} {low}-{high}"
+        worst = {rank: name for name, rank in SEVERITIES.items()}.get(row["worst"])
+        about = ", ".join(x for x in (self.label(f"{worst.lower()}_issues") if worst else "", depths or names) if x)
+        return f"  {row['rule_name']}: {row['n_issues']}" + (f" ({about})" if about else "")
+
     def shame_part(self) -> list[str]:
         entries = shame.top_entries(shame.shame_entries(self.issues), 5).select("file_path", "n_issues", "n_nuclear", "shame_score").collect()
         patterns = shame.top_patterns(shame.pattern_stats(self.issues), 5).select("rule_name", "n_issues", "n_files").collect()

@@ -123,6 +123,49 @@ def test_own_rules_join_in(spark):
         del rules.RULES["no-goto"]
 
 
+def test_every_issue_has_a_place_and_an_id_of_its_own(spark):
+    from lintlake.plans.analysis import analyze
+
+    text = "use b::c;\nuse a::b;\nuse b::c;\nuse b::c;\nfn f() { " + "panic!(); x.unwrap(); " * 4 + "match r { Ok(a) => a, Err(e) => e } let y = 5; let z = 5; }\n" + "let data_value = data;\n" * 5
+    rows = analyze(spark.createDataFrame([(p, text, 4, True) for p in ("a.rs", "b.rs")], "file_path string, content string, line_count long, parse_ok boolean")).collect()
+    panics = [r for r in rows if r.rule_name == "panic-abuse" and r.line == 1]
+    assert {r.severity for r in panics} >= {"Nuclear", "Spicy"} and sum(r.rule_name == "duplicate-imports" for r in rows) == 4
+    assert len({(r.file_path, r.emit_seq) for r in rows}) == len({r.issue_id for r in rows}) == len(rows)
+    assert len({r.issue_id for r in analyze(spark.createDataFrame([("a.rs", text, 4, True)], "file_path string, content string, line_count long, parse_ok boolean")).collect()} & {r.issue_id for r in rows}) == len(rows) // 2
+
+
+def test_faults_are_listed(spark):
+    files = spark.createDataFrame([("a.rs", "fn f( {", 1, True), ("b.rs", "fn f() {}", 1, True), ("c.rs", "}", 1, False)], "file_path string, content string, line_count long, parse_ok boolean")
+    assert [r.file_path for r in rules.faults(files).collect()] == ["a.rs"]
+
+
+def test_patterns_by_owner(spark):
+    from lintlake.sources.files import kept_by_owner
+
+    files = spark.createDataFrame([("vendor/a.rs", 1), ("b.rs", 1), ("b.rs", 2), (None, 1)], "file_path string, owner int")
+    patterns = spark.createDataFrame([("x", "vendor/*"), ("x", "[bad"), ("y", ""), ("z", None), (None, "b*"), (None, "b*")], "owner string, pattern string")
+    got = {tuple(r) for r in kept_by_owner(files, patterns).collect()}
+    assert got == {("x", "b.rs"), ("z", "b.rs"), ("z", "vendor/a.rs"), (None, "vendor/a.rs")}
+    assert kept_by_owner(files, patterns.limit(0)).collect() == []
+
+
+def test_folders_are_listed_in_rounds_and_counted_by_name(spark, tmp_path, monkeypatch):
+    from lintlake.sources import files as sources
+
+    monkeypatch.setattr(sources, "LIST_ENTRIES", 3)
+    for i in range(12):
+        folder = tmp_path / f"d{i % 4}" / f"e{i}" / "deep.rs"
+        folder.mkdir(parents=True)
+        (folder / "f.rs").write_text("fn f() {}\n")
+        (tmp_path / f"d{i % 4}" / f".h{i}.rs").write_text("a\nb")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    assert scan_files(spark, str(tmp_path)).count() == 24
+    assert scan_files(spark, f"file://{tmp_path}", ["*/e1*"]).count() == 21
+    assert tuple(sources.scan_metrics(spark, str(tmp_path)).first()) == (36, 36)
+    assert tuple(sources.scan_metrics(spark, str(tmp_path / "none")).first()) == (0, 0)
+    assert tuple(sources.scan_metrics(spark, str(tmp_path / "d0" / ".h0.rs")).first()) == (1, 2)
+
+
 def test_scan_of_a_folder(spark, tmp_path):
     for name, text in {"a.rs": "fn main() { x.unwrap(); }", "sub/_b.rs": "fn data() {}", "test_c.rs": "fn data() {}", "d.txt": "fn data() {}", ".e.rs": "fn temp() {}"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)

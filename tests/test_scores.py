@@ -90,3 +90,27 @@ def test_reports_hold_what_they_should(spark, options):
 def test_report_on_nothing(spark):
     files = spark.createDataFrame([], "file_path string, line_count long")
     assert "Nothing found" in Report(table(spark, []), files, Options()).text()
+
+
+@pytest.mark.parametrize(("score", "band"), [(0, "Excellent"), (20.9, "Excellent"), (21, "Good"), (41.5, "Average"), (61, "Poor"), (81, "Terrible"), (100, "Terrible"), (101, "Excellent")])
+def test_bands_of_scores(spark, score, band):
+    assert spark.range(1).select(scoring.score_status(F.lit(float(score)))).first()[0].startswith(band)
+
+
+def test_remarks_depend_on_the_seed_alone(spark):
+    pick = lambda seed, name, score=60.0, lang="en-US": spark.range(1).select(texts.remark(F.lit(name), F.lit(score), F.lit(seed), lang)).first()[0]
+    assert {pick(i, "naming") for i in range(12)} == set(texts.REMARKS["naming"]["en-US"])
+    assert pick(3, "naming") == pick(3, "naming") and pick(3, "naming", 59.9) is None
+    assert pick(1, "structure") == "Code needs improvement" and pick(1, "structure", lang="zh-CN") == "代码需要改进" and pick(1, "structure", lang="fr") == "Code needs improvement"
+
+
+def test_groups_name_names_and_depths(spark):
+    rows = [("d/a.rs", "terrible-naming", "Spicy", f"n{i}", "") for i in range(7)] + [("a.rs", "deep-nesting", "Mild", d, m) for d, m in (("4", ""), (None, "too deep (depth: 9)"), ("x", "no number"), (None, None))]
+    rows += [("a.rs", "single-letter-variable", None, "q", ""), ("a.rs", "magic-number", "Mild", "42", "depth: 3"), ("a.rs", None, "Mild", None, None)]
+    df = spark.createDataFrame([(i, *r[:3], 1, i, *r[3:]) for i, r in enumerate(rows)], "issue_id long, file_path string, rule_name string, severity string, line int, emit_seq long, subject string, message string")
+    got = {r.rule_name: (r.n_issues, r.worst, r.least_depth, r.greatest_depth, r.names, r.more_names) for r in shame.group_details(df).collect()}
+    assert got["terrible-naming"] == (7, 2, None, None, ["n0", "n1", "n2", "n3", "n4"], True) and got["deep-nesting"] == (4, 1, 4, 9, [], False)
+    assert got["single-letter-variable"] == (1, None, None, None, ["q"], False) and got["magic-number"] == (1, 1, None, None, [], False)
+    assert shame.group_details(df.limit(0)).collect() == []
+    text = Report(df.where("rule_name is not null"), spark.createDataFrame([("a.rs", 10)], "file_path string, line_count long"), Options()).text()
+    assert "terrible-naming: 7 (notable, n0, n1, n2, n3, n4, ...)" in text and "deep-nesting: 4 (minor, depth 4-9)" in text and "81-100" in text
