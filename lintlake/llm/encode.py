@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -17,6 +17,11 @@ TOKENIZERS = os.environ.get("LINTLAKE_TOKENIZERS", "/opt/tokenizers")
 #: Distinct words that one recursive query works on at a time, by bytes, and words that a partition remembers.
 QUERY_BYTES = 1 << 18
 KNOWN_WORDS = 1 << 18
+#: Bytes of the pieces in which longer words are encoded, tokens on both sides of a seam that are contracted anew at first, and bytes of
+#: a word whose pieces are held at once (a multiple of the piece).
+PIECE, SEAM, STRETCH = 64, 8, 1 << 20
+#: Tokens that one decoding query joins.
+DECODE_TOKENS = 1 << 19
 
 # Fixed value: how the vocabulary splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,12 +80,25 @@ def merge_table(name: str, folder: str | None = None) -> tuple[pa.Table, np.ndar
     return table, of_byte
 
 
+def token_bytes(merges: pa.Table, of_byte: np.ndarray) -> dict[int, bytes]:
+    """The bytes of every token that the merges make, and of the single bytes."""
+    out = {int(i): bytes([b]) for b, i in enumerate(of_byte)}
+    for a, b, merged in zip(*(merges.column(c).to_pylist() for c in ("a", "b", "merged"))):
+        out[merged] = out[a] + out[b]
+    return out
+
+
 class WordEncoder:
     """Ids of words: a table of their bytes' tokens contracted by the recursive query until no pair of a word is in the merge table.
 
     A round contracts the pair of lowest rank of each word at its leftmost place and at every later place that doesn't overlap one
     taken before. A pair that holds a new token ranks after the merge that made it, so this reaches the same fixpoint as
     one place a round, in fewer rounds.
+
+    A word of more than ``PIECE`` bytes is encoded in pieces, so that the rows and rounds of a query stay bounded however long it is. Pieces are joined exactly:
+    a row of tokens is what the contraction of its text gives if each two neighbours are what the contraction of their text gives, as the first
+    contraction over a border between tokens would be the first one over it in these two alone too. So around each seam some tokens of both
+    sides are contracted anew, more of them until the outermost come out as they were (or are the ends of the word).
     """
 
     def __init__(self, merges: pa.Table, of_byte: np.ndarray) -> None:
@@ -88,36 +106,78 @@ class WordEncoder:
         self.con.register("given", merges)
         self.con.execute("create table merges as select * from given")
         self.of_byte = of_byte
+        self.bytes_of = token_bytes(merges, of_byte)
         self.known: dict[str, np.ndarray] = {}
 
-    def _query(self, words: list[str]) -> None:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    def _query(self, raw: list[bytes]) -> list[np.ndarray]:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        start = np.cumsum(size) - size
         word = np.repeat(np.arange(len(raw)), size)
+        begin = np.cumsum(size) - size
         start = pa.table({
-            "word": word, "pos": np.arange(len(word)) - np.repeat(start, size) + 1,
+            "word": word, "pos": np.arange(len(word)) - np.repeat(begin, size) + 1,
             "token": self.of_byte[np.frombuffer(b"".join(raw), np.uint8)],
         })
         self.con.register("start", start)
         ids = self.con.sql(_MERGE).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("start")
         values, ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
-        for i, w in enumerate(words):
-            self.known[w] = values[ends[i] : ends[i + 1]]
+        return [values[ends[i] : ends[i + 1]] for i in range(len(raw))]
+
+    def _contract(self, raw: Iterable[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of distinct strings, by as many queries as their bytes ask for; those of like length together, as they need like numbers of rounds."""
+        out: dict[bytes, np.ndarray] = {}
+        part, held = [], 0
+        for x in [*sorted(raw, key=len), b""]:
+            if part and (not x or held >= QUERY_BYTES):
+                out.update(zip(part, self._query(part)))
+                part, held = [], 0
+            part.append(x)
+            held += len(x)
+        return out
+
+    def _text(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def _long(self, raw: bytes) -> np.ndarray:
+        done: list[np.ndarray] = []
+        ids: list[int] = []
+        for at in range(0, len(raw), STRETCH):
+            pieces = [raw[i : i + PIECE] for i in range(at, min(at + STRETCH, len(raw)), PIECE)]
+            known = self._contract(set(pieces))
+            listed = [known[x].tolist() for x in pieces]
+            # the seams as they are if the tokens around them stay; others are asked for one by one
+            seams = {self._text([*left[-SEAM:], *right[:SEAM]]) for left, right in zip([ids, *listed], listed)}
+            known |= self._contract(seams - known.keys())
+            for right in listed:
+                ids = self._joined(ids, right, known)
+            if len(ids) > 2 * STRETCH:
+                done.append(np.array(ids[:-STRETCH], np.int32))
+                ids = ids[-STRETCH:]
+        return np.concatenate([*done, np.array(ids, np.int32)])
+
+    def _joined(self, left: list[int], right: list[int], known: dict[bytes, np.ndarray]) -> list[int]:
+        """The ids of the text of both, ``left`` and ``right`` being those of their own texts; ``left`` is changed."""
+        n = SEAM
+        while left:
+            raw = self._text([*left[-n:], *right[:n]])
+            found = known.get(raw)
+            if found is None:
+                found = known[raw] = self._query([raw])[0]
+            if (n >= len(left) or found[0] == left[-n]) and (n >= len(right) or found[-1] == right[n - 1]):
+                del left[-n:]
+                left += found.tolist()
+                break
+            n *= 4
+        left += right[n:] if left else right
+        return left
 
     def add(self, words: set[str]) -> None:
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        new, held = [], 0
-        for w in sorted(words - self.known.keys(), key=len):
-            new.append(w)
-            held += 4 * len(w) if len(w) > 64 else len(w)
-            if held >= QUERY_BYTES:
-                self._query(new)
-                new, held = [], 0
-        if new:
-            self._query(new)
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in words - self.known.keys()}
+        found = self._contract({x for x in raw.values() if len(x) <= PIECE})
+        for w, x in raw.items():
+            self.known[w] = found[x] if len(x) <= PIECE else self._long(x)
 
 
 def _encode(merges: pa.Table, of_byte: np.ndarray):
@@ -140,7 +200,8 @@ def encode_texts(df: DataFrame, key: Column, text: Column, tokenizer: str = "byt
     """The key and ``ids`` (array of int) of every row of ``df``, without special tokens.
 
     Strings that look like special tokens are ordinary text. An empty text and a null text have the empty list; every row gives one
-    row, repeated ones too. Texts are encoded whole, of any length. The merge table (of fixed size, that of the vocabulary) travels with the tasks; no row leaves its partition.
+    row, repeated ones too. Texts and words are encoded whole, of any length: longer words in pieces that are joined exactly. The merge table (of fixed size, that of the
+    vocabulary) travels with the tasks; no row leaves its partition.
     Each partition asks for every distinct word once, so the recursive query sees its vocabulary rather than its running text.
     """
     merges, of_byte = merge_table(tokenizer, folder)
@@ -148,3 +209,44 @@ def encode_texts(df: DataFrame, key: Column, text: Column, tokenizer: str = "byt
     kind = rows.schema["id__"].dataType.simpleString()
     name = df.select(key).columns[0]
     return rows.mapInArrow(_encode(merges, of_byte), f"id__ {kind}, ids array<int>").withColumnRenamed("id__", name)
+
+
+_DECODE = """
+select text, string_agg(hex, '' order by pos) as hex
+from (select tokens.text, tokens.pos, parts.hex from tokens join parts using (token)) group by text
+"""
+
+
+def _decode(merges: pa.Table, of_byte: np.ndarray):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        of_token = token_bytes(merges, of_byte)
+        con.register("given", pa.table({"token": pa.array(of_token.keys(), pa.int32()), "hex": [x.hex() for x in of_token.values()]}))
+        con.execute("create table parts as select * from given")
+        for batch in batches:
+            ids = batch.column("ids")
+            values, size = ids.flatten().to_numpy(), np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            text = np.repeat(np.arange(len(ids)), size)
+            parts: list[list[bytes]] = [[] for _ in range(len(ids))]
+            for i in range(0, len(values), DECODE_TOKENS):
+                tokens = pa.table({"text": text[i : i + DECODE_TOKENS], "pos": np.arange(i, min(i + DECODE_TOKENS, len(values))), "token": values[i : i + DECODE_TOKENS]})
+                con.register("tokens", tokens)
+                for at, joined in con.execute(_DECODE).fetchall():
+                    parts[at].append(bytes.fromhex(joined))
+                con.unregister("tokens")
+            texts = [b"".join(x).decode("utf-8", "replace") for x in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("id__"), pa.array(texts, pa.string())], ["id__", "text"])
+
+    return split
+
+
+def decode_ids(df: DataFrame, key: Column, ids: Column, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """The key and ``text`` of every row of ``df``: the bytes of the ids (array of int), put together by an ordered aggregation.
+
+    An empty list and null have the empty text; ids that no byte or merge stands for have no bytes. Bytes that are no UTF-8 become replacement characters.
+    """
+    merges, of_byte = merge_table(tokenizer, folder)
+    rows = df.select(key.alias("id__"), ids.cast("array<int>").alias("ids"))
+    kind = rows.schema["id__"].dataType.simpleString()
+    name = df.select(key).columns[0]
+    return rows.mapInArrow(_decode(merges, of_byte), f"id__ {kind}, text string").withColumnRenamed("id__", name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.encode import encode_texts
+from lintlake.llm.encode import decode_ids, encode_texts
 from lintlake.llm.filekind import file_kinds
 from lintlake.llm.mix import mix_shares, token_sizes, weighted_mix
 from lintlake.llm.neardup import all_pairs, duplicate_groups, near_duplicates
@@ -164,6 +164,15 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), "byte_bpe_50k")
 
 
+@_query
+def p6_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; a null text comes back as the empty one."""
+    return decode_ids(p6_ids(spark, sf_dir), F.col("doc_id"), F.col("ids"))
+
+
+SQL["p6_decode"] = "select doc_id, coalesce(text, '') as text from documents"
+
+
 # Problem 7: mixing sources to target weights
 
 

@@ -295,9 +295,45 @@ def test_ids_decode_to_the_text(tokenizer, text):
     assert ids == tokenizer.encode(text, add_special_tokens=False).ids
     with open(f"{encode.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
         parts = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    assert encoder.bytes_of == parts
     assert b"".join(parts[i] for i in ids).decode() == text
 
 
+def word_encoder():
+    return encode.WordEncoder(*encode.merge_table("byte_bpe_50k"))
+
+
+@pytest.mark.parametrize(("piece", "seam"), [(8, 1), (64, 8)])
+def test_words_in_pieces_equal_those_of_the_library(tokenizer, monkeypatch, piece, seam):
+    monkeypatch.setattr(encode, "PIECE", piece)
+    monkeypatch.setattr(encode, "SEAM", seam)
+    monkeypatch.setattr(encode, "STRETCH", 10 * piece)
+    rng = random.Random(piece)
+    words = ["a" * 65, "a" * 200, "ab" * 50 + "a", "abc" * 40, "é" * 70, "混合" * 30, "-=" * 49, "\U0001d518" * 30]
+    words += ["".join(rng.choice(alphabet) for _ in range(100)) for alphabet in ("ab", "ing", "thequickbrown")]
+    encoder = word_encoder()
+    encoder.add(set(words))
+    for w in words:
+        assert encoder.known[w].tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
+def test_a_word_of_a_million_letters_is_encoded_in_bounded_queries(tokenizer, monkeypatch):
+    encoder = word_encoder()
+    sizes, query = [], encoder._query
+    monkeypatch.setattr(encoder, "_query", lambda raw: sizes.append(sum(map(len, raw))) or query(raw))
+    word = "a" * 1_000_000 + "b"
+    encoder.add({word})
+    assert encoder.known[word].tolist() == tokenizer.encode(word, add_special_tokens=False).ids and max(sizes) < 2 * encode.QUERY_BYTES
+
+
+def test_texts_decode_to_themselves(spark, monkeypatch):
+    monkeypatch.setattr(encode, "DECODE_TOKENS", 100)
+    df = spark.createDataFrame([*enumerate(AWKWARD)], "doc_id long, text string")
+    ids = encode.encode_texts(df, F.col("doc_id"), F.col("text")).unionByName(spark.createDataFrame([(90, None), (91, [-5])], "doc_id long, ids array<int>"))
+    got = {r.doc_id: r.text for r in encode.decode_ids(ids, F.col("doc_id"), F.col("ids")).collect()}
+    assert got == {**{i: t or "" for i, t in enumerate(AWKWARD)}, 90: "", 91: ""}
+
+
 # Problem 7
 
 
