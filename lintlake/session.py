@@ -20,6 +20,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, over at least as many tasks as the session has cores: a small file is one split, however long each of its rows takes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
 
