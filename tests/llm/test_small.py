@@ -228,12 +228,65 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_regions_that_are_too_large_go_deeper_and_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 4)
+    monkeypatch.setattr(neardup, "FEW", 2)
+    monkeypatch.setattr(neardup, "TILE", 5)
+    monkeypatch.setattr(neardup, "STRIP", 2)
     rows = near_rows(6, 2, 30)
     want = brute_pairs(rows)
     got = {tuple(r) for r in neardup.all_pairs(*near(spark, rows)).collect()}
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(data=st.data())
+def test_regions_of_an_order_are_its_common_prefixes(data):
+    """Each run of a sorted order with a common prefix: few members as pairs, more as members, too many as large and taken apart, however batches fall."""
+    size, few, restore = 5, 2, (neardup.REGION, neardup.FEW)
+    neardup.REGION, neardup.FEW = size, few
+    try:
+        rows = data.draw(st.lists(st.tuples(st.integers(0, 2), st.tuples(*[st.integers(0, 1)] * 4)), max_size=60))
+        entries = sorted((h, sum(v << 8 * (3 - i) for i, v in enumerate(t)), n) for n, (h, t) in enumerate(rows))
+        cuts = sorted(data.draw(st.lists(st.integers(0, len(entries)), max_size=4)))
+        region, got = neardup._Region(0, 0), []
+        for a, b in zip([0, *cuts], [*cuts, len(entries)]):
+            part = np.array(entries[a:b], np.int64).reshape(-1, 3)
+            got += [r for x in region.feed(*part.T.copy()) for r in x.to_pylist()]
+        got += [r for x in region.finish() for r in x.to_pylist()]
+    finally:
+        neardup.REGION, neardup.FEW = restore
+    want = {0: set(), 1: set(), 2: set()}
+
+    def split(level, part):
+        below = 8 * (7 - neardup.DEPTHS[level])
+        runs = {}
+        for h, t, n in part:
+            runs.setdefault((h, t >> below << below), []).append((h, t, n))
+        for (h, t), run in runs.items():
+            ids = [n for *_, n in run]
+            if level == 0 and 1 < len(run) <= few:
+                want[0] |= {(min(x, y), max(x, y)) for x in ids for y in ids if x < y}
+            elif 1 < len(run) <= size:
+                want[1] |= {(level, h, t, n) for n in ids}
+            elif len(run) > size:
+                want[2] |= {(level, h, t, n) for n in ids}
+                if level < 2:
+                    split(level + 1, run)
+
+    split(0, entries)
+    assert {(r["a"], r["b"]) for r in got if r["kind"] == 0} == want[0]
+    for kind in (1, 2):
+        rows = [(r["level"], r["head"], r["tail"], r["a"]) for r in got if r["kind"] == kind]
+        assert len(rows) == len(set(rows)) and set(rows) == want[kind]
+
+
+def test_pairs_of_a_large_class_of_copies_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 3)
+    members = spark.createDataFrame([(i, 0) for i in range(11)] + [(20, 20), (21, 21)], "id long, class_id long")
+    similar = spark.createDataFrame([(20, 21)], "a long, b long")
+    got = [tuple(r) for r in neardup.all_pairs(similar, members).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(11) for b in range(a + 1, 11)} | {(20, 21)}
+
+
 def test_groups_are_the_connected_components(spark):
     rows = near_rows(7, 5, 6)
     similar, members = near(spark, rows)
@@ -305,6 +358,7 @@ def word_encoder():
 
 @pytest.mark.parametrize(("piece", "seam"), [(8, 1), (64, 8)])
 def test_words_in_pieces_equal_those_of_the_library(tokenizer, monkeypatch, piece, seam):
+    monkeypatch.setattr(encode, "WHOLE", piece)
     monkeypatch.setattr(encode, "PIECE", piece)
     monkeypatch.setattr(encode, "SEAM", seam)
     monkeypatch.setattr(encode, "STRETCH", 10 * piece)
