@@ -17,9 +17,9 @@ TOKENIZERS = os.environ.get("LINTLAKE_TOKENIZERS", "/opt/tokenizers")
 #: Distinct words that one recursive query works on at a time, by bytes, and words that a partition remembers.
 QUERY_BYTES = 1 << 18
 KNOWN_WORDS = 1 << 18
-#: Bytes of the pieces in which longer words are encoded, tokens on both sides of a seam that are contracted anew at first, and bytes of
-#: a word whose pieces are held at once (a multiple of the piece).
-PIECE, SEAM, STRETCH = 64, 8, 1 << 20
+#: Bytes up to which a word is contracted whole, of the pieces in which longer words are, tokens on both sides of a seam that are
+#: contracted anew at first, and bytes of words whose pieces are held at once (a multiple of the piece).
+WHOLE, PIECE, SEAM, STRETCH = 512, 64, 8, 1 << 20
 #: Tokens that one decoding query joins.
 DECODE_TOKENS = 1 << 19
 
@@ -95,7 +95,7 @@ class WordEncoder:
     taken before. A pair that holds a new token ranks after the merge that made it, so this reaches the same fixpoint as
     one place a round, in fewer rounds.
 
-    A word of more than ``PIECE`` bytes is encoded in pieces, so that the rows and rounds of a query stay bounded however long it is. Pieces are joined exactly:
+    A word of more than ``WHOLE`` bytes is encoded in pieces, so that the rows and rounds of a query stay bounded however long it is. Pieces are joined exactly:
     a row of tokens is what the contraction of its text gives if each two neighbours are what the contraction of their text gives, as the first
     contraction over a border between tokens would be the first one over it in these two alone too. So around each seam some tokens of both
     sides are contracted anew, more of them until the outermost come out as they were (or are the ends of the word).
@@ -138,22 +138,23 @@ class WordEncoder:
     def _text(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _long(self, raw: bytes) -> np.ndarray:
-        done: list[np.ndarray] = []
-        ids: list[int] = []
-        for at in range(0, len(raw), STRETCH):
-            pieces = [raw[i : i + PIECE] for i in range(at, min(at + STRETCH, len(raw)), PIECE)]
-            known = self._contract(set(pieces))
-            listed = [known[x].tolist() for x in pieces]
+    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words in pieces: the next STRETCH bytes of all of them are asked for together."""
+        out, left = [[] for _ in words], [[] for _ in words]
+        for at in range(0, max(map(len, words), default=0), STRETCH):
+            pieces = [[w[i : i + PIECE] for i in range(at, min(at + STRETCH, len(w)), PIECE)] for w in words]
+            known = self._contract({x for p in pieces for x in p})
+            listed = [[known[x].tolist() for x in p] for p in pieces]
             # the seams as they are if the tokens around them stay; others are asked for one by one
-            seams = {self._text([*left[-SEAM:], *right[:SEAM]]) for left, right in zip([ids, *listed], listed)}
+            seams = {self._text([*a[-SEAM:], *b[:SEAM]]) for ids, p in zip(left, listed) for a, b in zip([ids, *p], p)}
             known |= self._contract(seams - known.keys())
-            for right in listed:
-                ids = self._joined(ids, right, known)
-            if len(ids) > 2 * STRETCH:
-                done.append(np.array(ids[:-STRETCH], np.int32))
-                ids = ids[-STRETCH:]
-        return np.concatenate([*done, np.array(ids, np.int32)])
+            for n, p in enumerate(listed):
+                for right in p:
+                    left[n] = self._joined(left[n], right, known)
+                if len(left[n]) > 2 * STRETCH:
+                    out[n].append(np.array(left[n][:-STRETCH], np.int32))
+                    left[n] = left[n][-STRETCH:]
+        return [np.concatenate([*done, np.array(ids, np.int32)]) for done, ids in zip(out, left)]
 
     def _joined(self, left: list[int], right: list[int], known: dict[bytes, np.ndarray]) -> list[int]:
         """The ids of the text of both, ``left`` and ``right`` being those of their own texts; ``left`` is changed."""
@@ -175,9 +176,15 @@ class WordEncoder:
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
         raw = {w: w.encode("utf-8", "surrogatepass") for w in words - self.known.keys()}
-        found = self._contract({x for x in raw.values() if len(x) <= PIECE})
-        for w, x in raw.items():
-            self.known[w] = found[x] if len(x) <= PIECE else self._long(x)
+        found = self._contract({x for x in raw.values() if len(x) <= WHOLE})
+        part: list[str] = []
+        for w in [w for w, x in raw.items() if len(x) > WHOLE]:
+            part.append(w)
+            if sum(len(raw[x]) for x in part) >= STRETCH:
+                self.known.update(zip(part, self._long([raw[x] for x in part])))
+                part = []
+        self.known.update(zip(part, self._long([raw[x] for x in part])))
+        self.known.update((w, found[x]) for w, x in raw.items() if len(x) <= WHOLE)
 
 
 def _encode(merges: pa.Table, of_byte: np.ndarray):
