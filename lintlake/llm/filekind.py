@@ -1,8 +1,12 @@
 """Generated, minified, vendored and data files among hand-written source, by belief propagation over directory trees.
 
-Every file has evidence of its own (content, header, file name, lines that it shares with vendored files), every directory that of its name.
-Files and directories form a tree. Messages go up from files to the root and down again, one tree level at a time; on a tree
+Every file has evidence of its own (content, file name, lines that it shares with vendored files), every directory that of its name.
+Files and directories form a tree. Messages go up from files to the root and down again; on a tree
 this gives exact marginals, in which a file's siblings speak through their common directory.
+
+What headers say is learned: beliefs are propagated once without reading any, then the word sequences of all header comments are counted under these
+beliefs (and the hand labels), which gives the odds of each sequence for generated and for vendored files; with these odds as further evidence
+beliefs are propagated again. The chances between a directory and what lies in it are counted under the first beliefs too.
 """
 
 from __future__ import annotations
@@ -18,22 +22,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.session import shared_table
+from lintlake.session import shared_table, spread
 
 LABELS = ["handwritten", "generated", "minified", "vendored", "data_blob"]
 #: Labelled files that the classifier is fitted on, at most; those of least hashed id.
 MOST_LABELS = 20_000
 #: A line that can tell where a file is from has at least so many characters.
 TELLING = 30
-#: Rows of a key beyond which a join sends the other side's row to every task instead; as a share of all rows, so the keys are few.
-HOT_ROWS, HOT_SHARE = 20_000, 1 / 2000
-#: Exclude globs that are matched by an expression in the plan; more are joined as a table.
-PLAN_GLOBS = 200
-
-# What headers and names say.
-_GENERATED = regex.compile(r"@generated|auto-?\s?generated|code generated|generated (?:by|from)|do not edit|do not touch|do not modify|machine[- ](?:made|generated)|auto-produced|produced by|wrote this file|regenerate with|changes will be lost|自动生成", regex.I)
-_VENDORED = regex.compile(r"part of the \w+ (?:library|project)|taken over from|copied from|imported unchanged|upstream snapshot|vendored from|licensed under its own terms|keep in step with upstream|第三方代码", regex.I)
-_DENIED = regex.compile(r"not generated|not a generated|replaces the|from scratch|by hand|emits files|our own|\bis ours\b|are ours|without asking|counterpart of|unlike ", regex.I)
+#: Bytes of distinct exclude globs at most; beyond that it is no list written by hand and an error is raised.
+MOST_GLOB_BYTES = 1 << 22
+#: Directories with files below one directory up to which its whole tree is worked on in one task.
+SUBTREE = 20_000
+#: Words of a sequence in a header, files that must have it, what a count starts from, the power of its odds (the sequences of one phrase support each
+#: other), the logarithm of odds from which a sequence says anything and up to which it counts, and from which a header marks lines as vendored.
+GRAMS, GRAM_FILES, GRAM_START, GRAM_POWER, GRAM_LEAST, GRAM_MOST, GRAM_MARKS = (2, 3), 4, 0.5, 1.3, 1.5, 10.0, 4.0
+#: Labels that headers tell, and the weight of the typed chances below against those counted, in files and directories.
+TOLD, FILES_WEIGH, DIRECTORIES_WEIGH = ("generated", "vendored"), 50.0, 200.0
+
+# The marks that generators have agreed on, and endings of file names.
+_MARK = regex.compile(r"@generated\b|\bcode generated\b.*\bdo not (?:edit|modify)\b", regex.I)
+_WORD = regex.compile(r"\p{Han}|[^\W\d_\p{Han}]+")
 _NAME_GENERATED = regex.compile(r"(?:\.pb|\.g|_gen|_autogen|_generated|\.generated|_bindings|_pb2?)\.\w+$")
 _NAME_MINIFIED = regex.compile(r"\.min\.\w+$|\.bundle\.\w+$")
 _NAME_HASHED = regex.compile(r"-[0-9a-f]{8,}\.\w+$")
@@ -47,8 +55,8 @@ DIRECTORIES = {
     "dist": ("minified", 5.0),
 }
 
-#: Chance of a file's label given its directory's, and of a directory's given that of the one above, in the order of LABELS. A directory
-#: without a telling name is hardly ever of another kind than the one above; single files are.
+#: Chance of a file's label given its directory's, and of a directory's given that of the one above, in the order of LABELS: where counting starts from. A
+#: directory without a telling name is hardly ever of another kind than the one above; single files are.
 FILE_GIVEN_DIRECTORY = np.array([
     [0.930, 0.020, 0.015, 0.020, 0.015],
     [0.200, 0.740, 0.020, 0.020, 0.020],
@@ -67,9 +75,7 @@ DIRECTORY_GIVEN_PARENT = np.array([
 #: Features and the weights that they start from: the fitted ones stay near them while few labels speak against.
 FEATURES: dict[str, dict[str, float]] = {
     "bias": {"handwritten": 1.0},
-    "head_generated": {"generated": 14.0},
-    "head_vendored": {"vendored": 14.0},
-    "head_denied": {"handwritten": 3.0},
+    "head_marked": {"generated": 6.0},
     "name_generated": {"generated": 6.0},
     "name_minified": {"minified": 6.0},
     "name_hashed": {"minified": 2.0},
@@ -146,7 +152,6 @@ def content_features(path: str, text: str) -> dict[str, float]:
     """The features that a file shows by itself; all are between 0 and 1."""
     lines = [x for x in (y.strip() for y in text.splitlines()) if x]
     head = "\n".join(_header(lines))
-    denied = bool(_DENIED.search(head))
     code = [x for x in lines if not x.startswith(("//", "/*", "*", "#"))]
     n = len(code)
     shapes: dict[str, int] = {}
@@ -171,9 +176,7 @@ def content_features(path: str, text: str) -> dict[str, float]:
     dense = _clip((0.13 - spaces) / 0.05)
     return {
         "bias": 1.0,
-        "head_generated": float(bool(_GENERATED.search(head)) and not denied),
-        "head_vendored": float(bool(_VENDORED.search(head)) and not denied),
-        "head_denied": float(denied),
+        "head_marked": float(bool(_MARK.search(head))),
         "name_generated": float(bool(_NAME_GENERATED.search(path))),
         "name_minified": float(bool(_NAME_MINIFIED.search(path))),
         "name_hashed": float(bool(_NAME_HASHED.search(path))),
@@ -191,33 +194,34 @@ def content_features(path: str, text: str) -> dict[str, float]:
     }
 
 
-_OWN = [f for f in FEATURES if f not in ("vendored_lines", "excluded")]
+def header_grams(text: str) -> set[int]:
+    """Hashes of the sequences of GRAMS words in the lines of the header; numbers are no words, and each Han character is one."""
+    out = set()
+    for line in _header([x for x in (y.strip() for y in text.splitlines()) if x]):
+        words = _WORD.findall(line.lower())
+        for n in GRAMS:
+            out.update(xxhash.xxh64_intdigest(" ".join(words[i : i + n])) - (1 << 63) for i in range(len(words) - n + 1))
+    return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, lines = [], []
-        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-            f = content_features(path or "", text)
-            rows.append([f[name] for name in _OWN])
-            lines.append(list({xxhash.xxh64_intdigest(x) - (1 << 63) for x in (y.strip() for y in text.splitlines()) if len(x) >= TELLING}))
-        columns = [batch.column("id"), batch.column("path"), pa.array(rows, pa.list_(pa.float64())), pa.array(lines, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "path", "own", "lines"])
+_OWN = [f for f in FEATURES if f not in ("vendored_lines", "excluded")]
 
 
-def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key``, unique in ``right``, for a ``left`` in which one key may hold a large part of the rows.
+def _features(expressions: list[str]):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        globs = [re.compile(x) for x in expressions]
+        for batch in batches:
+            rows, lines, grams = [], [], []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                f = content_features(path or "", text)
+                excluded = sum(path is not None and g.search(path) is not None for g in globs)
+                rows.append([*(f[name] for name in _OWN), min(1.0, excluded / 2)])
+                lines.append(list({xxhash.xxh64_intdigest(x) - (1 << 63) for x in (y.strip() for y in text.splitlines()) if len(x) >= TELLING}))
+                grams.append(list(header_grams(text)))
+            columns = [batch.column("id"), batch.column("path"), pa.array(rows, pa.list_(pa.float64())), pa.array(lines, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "path", "own", "lines", "grams"])
 
-    Keys with more than HOT_ROWS rows and HOT_SHARE of all (so at most 1/HOT_SHARE keys) are joined by broadcasting their rows of ``right``, the others by a shuffle.
-    """
-    counts = shared_table(left.groupBy(key).agg(F.count("*").alias("n__")), "counts")
-    total = counts.agg(F.sum("n__")).first()[0] or 0
-    hot = counts.where((F.col("n__") > HOT_ROWS) & (F.col("n__") > HOT_SHARE * total)).select(key)
-    if hot.isEmpty():
-        return left.join(right, key, "left")
-    hot = F.broadcast(hot)
-    few = F.broadcast(right.join(hot, key, "left_semi"))
-    return left.join(hot, key, "left_anti").join(right, key, "left").unionByName(left.join(hot, key, "left_semi").join(few, key, "left"))
+    return split
 
 
 def _in_vendored_directory(path: Column) -> Column:
@@ -226,12 +230,12 @@ def _in_vendored_directory(path: Column) -> Column:
     return F.concat(above_src, F.lit("/")).rlike("/(" + "|".join(names) + ")/")
 
 
-def _vendored_lines(files: DataFrame) -> DataFrame:
-    """id and the share of a file's telling lines that vendored files other than itself have."""
-    marked = _in_vendored_directory(F.col("path")) | (F.col("own")[_OWN.index("head_vendored")] > 0)
+def _vendored_lines(files: DataFrame, marked: Column) -> DataFrame:
+    """id and the share of a file's telling lines that marked files other than itself have, and the number of its telling lines."""
     lines = files.select("id", marked.cast("int").alias("marked"), F.explode("lines").alias("line"))
     seen = shared_table(lines.groupBy("line").agg(F.sum("marked").alias("n")).where("n > 0"), "vendored-lines")
-    joined = join_with_hot_keys(lines, seen, "line")
+    # one row a line on the right, so a line that a third of all files have only makes a long partition, which adaptive execution splits
+    joined = lines.join(seen, "line", "left")
     elsewhere = (F.coalesce("n", F.lit(0)) > F.col("marked")).cast("double")
     return joined.groupBy("id").agg(F.avg(elsewhere).alias("share"), F.count("*").alias("n_lines"))
 
@@ -259,36 +263,42 @@ def valid_globs(patterns: DataFrame, column: str = "pattern") -> DataFrame:
     return patterns.select(F.col(column).alias("glob")).distinct().mapInArrow(_expressions, "expression string")
 
 
-def _with_matches(files: DataFrame, patterns: DataFrame | None) -> DataFrame:
-    """``files`` with n_globs, the number of valid globs that match the path: a few as one expression in the plan, any number as a table to join with."""
+def _globs(patterns: DataFrame | None) -> list[str]:
     if patterns is None:
-        return files.withColumn("n_globs", F.lit(0.0))
-    globs = shared_table(valid_globs(patterns), "globs")
-    if globs.count() <= PLAN_GLOBS:
-        n = F.lit(0.0)
-        for (g,) in globs.orderBy("expression").collect():
-            n = n + F.coalesce(F.col("path").rlike(g).cast("double"), F.lit(0.0))
-        return files.withColumn("n_globs", n)
-    pairs = files.select("id", "path").crossJoin(globs).where(F.expr("path rlike expression"))
-    counts = pairs.groupBy("id").agg(F.count("*").cast("double").alias("n_globs"))
-    return files.join(counts, "id", "left").na.fill(0.0, ["n_globs"])
-
-
-def file_features(files: DataFrame, key: Column, path: Column, text: Column, patterns: DataFrame | None = None) -> DataFrame:
-    """id, path and features (array, in the order of FEATURES) of every distinct file whose text is not null."""
-    rows = files.select(key.cast("long").alias("id"), path.alias("path"), text.alias("text")).where("id is not null and text is not null")
-    own = rows.mapInArrow(_features, "id long, path string, own array<double>, lines array<long>")
-    own = shared_table(own.dropDuplicates(["id"]), "features")
-    shared = _vendored_lines(own).withColumn("vendored_lines", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("share") - 0.3) / 0.2)) * F.least(F.lit(1.0), F.col("n_lines") / 5))
-    out = own.drop("lines").join(shared.select("id", "vendored_lines"), "id", "left")
-    out = _with_matches(out, patterns)
-    excluded = F.least(F.lit(1.0), F.col("n_globs") / 2)
-    both = F.array(F.coalesce("vendored_lines", F.lit(0.0)), F.coalesce(excluded, F.lit(0.0)))
-    return shared_table(out.select("id", "path", F.concat("own", both).alias("features")), "evidence")
+        return []
+    globs = valid_globs(patterns)
+    size = globs.agg(F.coalesce(F.sum(F.octet_length("expression")), F.lit(0))).first()[0]
+    if size > MOST_GLOB_BYTES:
+        raise ValueError(f"more than {MOST_GLOB_BYTES} bytes of exclude globs")
+    return sorted(r[0] for r in globs.collect())
+
+
+def own_features(files: DataFrame, key: Column, path: Column, text: Column, patterns: DataFrame | None = None) -> DataFrame:
+    """id, path, own (features in the order of _OWN, then ``excluded``), lines and grams (hashes) of every distinct file whose text is not null."""
+    rows = spread(files.select(key.cast("long").alias("id"), path.alias("path"), text.alias("text")).where("id is not null and text is not null"))
+    own = rows.mapInArrow(_features(_globs(patterns)), "id long, path string, own array<double>, lines array<long>, grams array<long>")
+    return shared_table(own.dropDuplicates(["id"]), "features")
+
+
+_TOLD = [f"told_{label}" for label in TOLD]
+
+
+def evidence_of(own: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """id, path, grams, features (in the order of _ORDER) and the odds that the header gives for TOLD; without ``told`` (id, told_...) headers say nothing."""
+    told_columns = [F.coalesce(c, F.lit(0.0)).alias(c) for c in _TOLD] if told is not None else [F.lit(0.0).alias(c) for c in _TOLD]
+    rows = (own.join(told, "id", "left") if told is not None else own).select("id", "path", "own", "lines", "grams", *told_columns)
+    shared = _vendored_lines(rows, _in_vendored_directory(F.col("path")) | (F.col("told_vendored") > GRAM_MARKS))
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("share") - 0.3) / 0.2)) * F.least(F.lit(1.0), F.col("n_lines") / 5)
+    out = rows.drop("lines").join(shared.select("id", clipped.alias("vendored_lines")), "id", "left")
+    features = F.concat("own", F.array(F.coalesce("vendored_lines", F.lit(0.0))))
+    return shared_table(out.select("id", "path", "grams", features.alias("features"), *_TOLD), "evidence")
+
+
+_ORDER = [*_OWN, "excluded", "vendored_lines"]
 
 
 def starting_weights() -> np.ndarray:
-    return np.array([[FEATURES[f].get(label, 0.0) for label in LABELS] for f in [*_OWN, "vendored_lines", "excluded"]])
+    return np.array([[FEATURES[f].get(label, 0.0) for label in LABELS] for f in _ORDER])
 
 
 def fit(features: np.ndarray, labels: np.ndarray, pull: float = 2.0, doubt: float = 0.05, rounds: int = 300) -> np.ndarray:
@@ -315,116 +325,240 @@ def fit(features: np.ndarray, labels: np.ndarray, pull: float = 2.0, doubt: floa
     return w
 
 
-def fitted_weights(evidence: DataFrame, labels: DataFrame | None) -> np.ndarray:
-    """Weights from the hand-labelled files on whose label all annotators agree; null and unknown labels say nothing."""
+def agreed_labels(labels: DataFrame | None) -> DataFrame | None:
+    """id and label of the hand-labelled files on whose label all annotators agree; null and unknown labels say nothing. At most MOST_LABELS, those of least hashed id."""
     if labels is None:
-        return starting_weights()
+        return None
     agreed = labels.where(F.col("label").isin(LABELS)).groupBy(F.col("file_id").alias("id")).agg(F.min("label").alias("label"), F.max("label").alias("other"))
-    agreed = agreed.where("label = other").select("id", "label").orderBy(F.xxhash64("id"), "id").limit(MOST_LABELS)
+    return shared_table(agreed.where("label = other").select("id", "label").orderBy(F.xxhash64("id"), "id").limit(MOST_LABELS), "labels")
+
+
+def fitted_weights(evidence: DataFrame, agreed: DataFrame | None) -> np.ndarray:
+    if agreed is None:
+        return starting_weights()
     rows = evidence.join(F.broadcast(agreed), "id").select("features", "label").collect()
     return fit(np.array([r[0] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([LABELS.index(r[1]) for r in rows], int))
 
 
-# Messages are arrays of five logarithms, up to a constant.
+# Messages are rows of five logarithms, up to a constant.
 
+_P, _U, _B, _M, _T = ([f"{c}{i}" for i in range(len(LABELS))] for c in "pubmt")
+_FIVE = lambda names: ", ".join(f"{c} double" for c in names)
 
-def _log_sum(terms: list[Column]) -> Column:
-    most = F.greatest(*terms)
-    total = F.exp(terms[0] - most)
-    for t in terms[1:]:
-        total = total + F.exp(t - most)
-    return F.log(total) + most
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis=axis, keepdims=True)
+    return (np.log(np.exp(x - most).sum(axis=axis, keepdims=True)) + most).squeeze(axis)
 
-_P = [f"p{i}" for i in range(len(LABELS))]
 
+def _upward(values: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """The messages of children to their directory: over the labels of the directory."""
+    return _log_sum(values[:, None, :] + np.log(given)[None], 2)
 
-def _upward(values: list[Column], given: np.ndarray) -> list[Column]:
-    """A child's message to its directory: over the labels of the directory."""
-    return [_log_sum([F.lit(math.log(given[parent, child])) + values[child] for child in range(len(LABELS))]) for parent in range(len(LABELS))]
 
+def _downward(values: np.ndarray, given: np.ndarray) -> np.ndarray:
+    return _log_sum(values[:, :, None] + np.log(given)[None], 1)
 
-def _downward(values: list[Column], given: np.ndarray) -> list[Column]:
-    return [_log_sum([F.lit(math.log(given[parent, child])) + values[parent] for parent in range(len(LABELS))]) for child in range(len(LABELS))]
 
+def _joint(above: np.ndarray, below: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Expected counts of (directory's label, child's label) over all rows, as 25 numbers."""
+    if not len(above):
+        return np.zeros(len(LABELS) ** 2)
+    x = above[:, :, None] + np.log(given)[None] + below[:, None, :]
+    x = np.exp(x - x.max(axis=(1, 2), keepdims=True))
+    return (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0).ravel()
 
-def _cols(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(len(LABELS))]
 
+def _matrix(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in names], axis=1)
 
-def _named(prefix: str, values: list[Column]) -> list[Column]:
-    return [v.alias(f"{prefix}{i}") for i, v in enumerate(values)]
 
+def _score(weights: np.ndarray, given: np.ndarray):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1) @ weights
+            for name in TOLD:
+                values[:, LABELS.index(name)] += batch.column(f"told_{name}").to_numpy()
+            up = _upward(values, given)
+            columns = [batch.column(c) for c in ("id", "path", "grams")]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, values.T.copy()), *map(pa.array, up.T.copy())], ["id", "path", "grams", *_P, *_U])
 
-def _parent(path: Column) -> Column:
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
-
+    return split
 
-def _telling(path: Column, directory: str) -> Column:
-    here = F.regexp_extract(path, "([^/]*)$", 1) == directory
-    return here & ~F.concat(F.lit("/"), path).contains("/src/") if DIRECTORIES[directory][0] == "vendored" else here
 
+def scored(evidence: DataFrame, weights: np.ndarray, given: np.ndarray = FILE_GIVEN_DIRECTORY) -> DataFrame:
+    """id, path, grams, own log evidence p0 ... p4 and the message to the directory u0 ... u4 of every file."""
+    return evidence.mapInArrow(_score(weights, given), f"id long, path string, grams array<long>, {_FIVE(_P)}, {_FIVE(_U)}")
 
-def _name_evidence(path: Column) -> list[Column]:
-    out = []
-    for i, label in enumerate(LABELS):
-        value = F.lit(0.2 if i == 0 else 0.0)
-        for directory, (kind, weight) in DIRECTORIES.items():
-            if kind == label:
-                value = F.when(_telling(path, directory), weight).otherwise(value)
-        out.append(value)
-    return out
 
+def _parent(path: Column) -> Column:
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
-def _named_directory(path: Column) -> Column:
-    out = F.lit(False)
-    for directory in DIRECTORIES:
-        out = out | _telling(path, directory)
-    return out
 
+def _telling(directory: str, path: str) -> bool:
+    return directory in DIRECTORIES and not (DIRECTORIES[directory][0] == "vendored" and "/src/" in f"/{path}")
+
+
+class _Tree:
+    """Some of the directories with their own log evidence; those whose parent is not among them are roots here."""
+
+    def __init__(self, table: pa.Table, given: np.ndarray) -> None:
+        self.given = given
+        self.paths = table.column("dir").to_pylist()
+        at = {p: i for i, p in enumerate(self.paths)}
+        self.parents = [None if not p else p.rpartition("/")[0] for p in self.paths]
+        self.parent = np.array([-1 if p is None else at.get(p, -1) for p in self.parents], np.int64)
+        names = [p.rpartition("/")[2] for p in self.paths]
+        self.named = np.array([_telling(n, p) for n, p in zip(names, self.paths)], bool)
+        self.values = _matrix(table, _U)
+        self.values[:, 0] += 0.2
+        for i in np.flatnonzero(self.named).tolist():
+            label, weight = DIRECTORIES[names[i]]
+            self.values[i, LABELS.index(label)] += weight - 0.2 * (label == LABELS[0])
+        depth = np.array([p.count("/") + 1 if p else 0 for p in self.paths], np.int64)
+        self.levels = [np.flatnonzero(depth == d) for d in np.unique(depth)]
+        self.sent = np.zeros_like(self.values)
+
+    def up(self) -> None:
+        for level in reversed(self.levels):
+            message = _upward(self.values[level], self.given)
+            message[self.named[level]] = 0.0
+            self.sent[level] = message
+            inside = self.parent[level] >= 0
+            np.add.at(self.values, self.parent[level][inside], message[inside])
+
+    def down(self, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log beliefs of all, and the joint counts of directories and those above; ``above``: what the parents outside believe, NaN where there is none."""
+        beliefs, joint = self.values.copy(), np.zeros(len(LABELS) ** 2)
+        for level in self.levels:
+            inside = self.parent[level] >= 0
+            before = np.where(inside[:, None], beliefs[self.parent[level]], above[level])
+            at = level[~np.isnan(before).any(axis=1) & ~self.named[level]]
+            m = before[np.isin(level, at)] - self.sent[at]
+            beliefs[at] = self.values[at] + _downward(m, self.given)
+            joint += _joint(m, self.values[at], self.given)
+        return beliefs, joint
+
+
+def _roots_up(given: np.ndarray):
+    def subtrees(table: pa.Table) -> pa.Table:
+        tree = _Tree(table, given)
+        tree.up()
+        at = np.flatnonzero(tree.parent < 0)
+        parents = [tree.parents[i] for i in at.tolist()]
+        return pa.table({"dir": pa.array(parents, pa.string()), **{c: tree.sent[at, i] for i, c in enumerate(_U)}})
+
+    return subtrees
+
+
+def _both_ways(given: np.ndarray):
+    def subtrees(table: pa.Table) -> pa.Table:
+        tree = _Tree(table, given)
+        tree.up()
+        beliefs, joint = tree.down(np.stack([table.column(c).to_numpy() for c in _T], axis=1).astype(float))
+        # the last row has no directory but the joint counts
+        rows = {"dir": pa.array([*tree.paths, None], pa.string()), **{c: np.append(beliefs[:, i], 0.0) for i, c in enumerate(_B)}}
+        return pa.table(rows | {"joint": pa.array([*[None] * len(tree.paths), joint.tolist()], pa.list_(pa.float64()))})
+
+    return subtrees
+
+
+_DIR_BELIEFS = f"dir string, {_FIVE(_B)}, joint array<double>"
+
+
+def _directories(received: DataFrame, given: np.ndarray) -> DataFrame:
+    """Log beliefs (dir, b0 ... b4, joint) of all directories that have files below, and rows without a dir that hold joint counts; received: dir, u0 ... u4.
+
+    A directory with no more than SUBTREE directories below it is worked on in one task with all of them, many small such trees together. Those above, at most
+    a SUBTREE-th of all for each level of depth, are a tree of their own, in one task: the trees below send up what their roots say, and
+    get what the top believes.
+    """
+    every = F.expr("transform(sequence(0, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), 1, i), '/'))")
+    every = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(every)
+    counts = shared_table(received.select(F.explode(every).alias("dir")).groupBy("dir").agg(F.count("*").alias("n")), "directories")
+    dirs = counts.select("dir").join(received, "dir", "left").na.fill(0.0)
+    top = counts.where(F.col("n") > SUBTREE).select(F.col("dir").alias("top"))
+    nothing = [F.lit(None).cast("double").alias(c) for c in _T]
+    if top.isEmpty():
+        return dirs.select(F.lit(0).alias("one"), "dir", *_U, *nothing).groupBy("one").applyInArrow(_both_ways(given), _DIR_BELIEFS)
+    levels_in_top = counts.select("dir", F.explode(every).alias("top")).join(top, "top").groupBy("dir").agg(F.count("*").cast("int").alias("k"))
+    placed = dirs.join(levels_in_top, "dir", "left").withColumn("root", F.get(every, F.coalesce("k", F.lit(0))))
+    buckets = max(1, 2 * (counts.where("dir = ''").first()["n"] // SUBTREE))
+    placed = shared_table(placed.select("dir", "root", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), *_U), "placed")
+    trees = placed.where("root is not null")
+    sums = [F.sum(c).alias(c) for c in _U]
+    upper = trees.groupBy("bucket").applyInArrow(_roots_up(given), f"dir string, {_FIVE(_U)}").unionByName(placed.where("root is null").select("dir", *_U))
+    upper = upper.groupBy("dir").agg(*sums).select(F.lit(0).alias("one"), "dir", *_U, *nothing)
+    upper = shared_table(upper.groupBy("one").applyInArrow(_both_ways(given), _DIR_BELIEFS), "top")
+    believed = upper.where("dir is not null").select(F.col("dir").alias("parent"), *(F.col(b).alias(t) for b, t in zip(_B, _T)))
+    at_root = F.when(F.col("dir") == F.col("root"), _parent(F.col("dir")))
+    lower = trees.withColumn("parent", at_root).join(believed, "parent", "left").select("dir", "bucket", *_U, *_T)
+    return lower.groupBy("bucket").applyInArrow(_both_ways(given), _DIR_BELIEFS).unionByName(upper)
+
+
+def _believe(given: np.ndarray):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _matrix(batch, _P)
+            above = _matrix(batch, _B) - _matrix(batch, _U)
+            log = own + _downward(above, given)
+            belief = np.exp(log - _log_sum(log, 1)[:, None])
+            joint = pa.array([*[None] * (batch.num_rows - 1), _joint(above, own, given).tolist()], pa.list_(pa.float64()))
+            columns = [batch.column(c) for c in ("id", "path", "grams")]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, belief.T.copy()), joint], ["id", "path", "grams", *_B, "joint"])
 
-def _unless(named: Column, messages: list[Column]) -> list[Column]:
-    return [F.when(named, 0.0).otherwise(m) for m in messages]
+    return split
 
 
-def propagate(files: DataFrame) -> DataFrame:
-    """id, path and log beliefs b0 ... b4 of the files (id, path, p0 ... p4 own evidence) after one sweep up and one down.
+def propagate(files: DataFrame, file_given: np.ndarray = FILE_GIVEN_DIRECTORY, directory_given: np.ndarray = DIRECTORY_GIVEN_PARENT) -> tuple[DataFrame, DataFrame]:
+    """Beliefs (id, path, grams, b0 ... b4 that sum to 1, joint) of the files (id, path, grams, p0 ..., u0 ...) after one sweep up and one down, and those of the directories.
 
-    Messages to a directory are added up by an aggregation, so a directory of any number of files costs one row per split. Up and down take one
-    small job per tree level over the directories only; files take part in the first and in the last.
+    Messages to a directory are added up by an aggregation, so a directory of any number of files costs one row per split. ``joint`` holds expected counts of
+    (directory's label, file's label), for many files in one of their rows.
     """
-    files = files.withColumn("dir", _parent(F.coalesce("path", F.lit("")))).select("id", "path", "dir", *_P, *_named("u", _upward(_cols("p"), FILE_GIVEN_DIRECTORY)))
-    files = shared_table(files, "files")
-    sums = [F.sum(f"u{i}").alias(f"u{i}") for i in range(len(LABELS))]
-    received = shared_table(files.groupBy("dir").agg(*sums), "received")
-    ancestors = F.expr("transform(sequence(0, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), 1, i), '/'))")
-    dirs = received.select(F.explode(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(ancestors)).alias("dir")).distinct()
-    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    dirs = dirs.join(received, "dir", "left").na.fill(0.0).withColumn("depth", depth)
-    own = [a + b for a, b in zip(_cols("u"), _name_evidence(F.col("dir")))]
-    dirs = dirs.select("dir", "depth", _parent(F.col("dir")).alias("parent"), _named_directory(F.col("dir")).alias("named"), *_named("p", own))
-    dirs = shared_table(dirs, "dirs")
-    deepest = dirs.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return files.select("id", "path", *_named("b", _cols("p")))
-    levels: dict[int, DataFrame] = {}
-    for d in range(deepest, -1, -1):
-        level = dirs.where(F.col("depth") == d)
-        if d < deepest:
-            below = levels[d + 1].groupBy(F.col("parent").alias("dir")).agg(*sums)
-            level = level.join(below, "dir", "left").na.fill(0.0, [f"u{i}" for i in range(len(LABELS))])
-            level = level.select("dir", "depth", "parent", "named", *_named("p", [a + b for a, b in zip(_cols("p"), _cols("u"))]))
-        levels[d] = shared_table(level.select("*", *_named("u", _unless(F.col("named"), _upward(_cols("p"), DIRECTORY_GIVEN_PARENT)))), "up")
-    above = levels[0].select("dir", *_named("b", _cols("p")))
-    beliefs = above
-    for d in range(1, deepest + 1):
-        level = join_with_hot_keys(levels[d].withColumnRenamed("parent", "key"), above.withColumnRenamed("dir", "key"), "key")
-        down = _unless(F.col("named"), _downward([b - u for b, u in zip(_cols("b"), _cols("u"))], DIRECTORY_GIVEN_PARENT))
-        above = shared_table(level.select("dir", *_named("b", [p + m for p, m in zip(_cols("p"), down)])), "down")
-        beliefs = beliefs.unionByName(above)
-    joined = join_with_hot_keys(files, beliefs, "dir")
-    down = _downward([b - u for b, u in zip(_cols("b"), _cols("u"))], FILE_GIVEN_DIRECTORY)
-    return joined.select("id", "path", *_named("b", [p + m for p, m in zip(_cols("p"), down)]))
+    files = shared_table(files.withColumn("dir", _parent(F.coalesce("path", F.lit("")))), "files")
+    received = shared_table(files.groupBy("dir").agg(*(F.sum(c).alias(c) for c in _U)), "received")
+    directories = shared_table(_directories(received, directory_given), "beliefs")
+    joined = files.join(directories.where("dir is not null").drop("joint"), "dir")
+    columns = ["id", "path", "grams", *_P, *_U, *_B]
+    beliefs = joined.select(*columns).mapInArrow(_believe(file_given), f"id long, path string, grams array<long>, {_FIVE(_B)}, joint array<double>")
+    return beliefs, directories
+
+
+def _counted(beliefs: DataFrame, typed: np.ndarray, weigh: float) -> np.ndarray:
+    """Chances counted under the beliefs, the typed ones counting as ``weigh`` cases of each label above."""
+    n = len(LABELS)
+    sums = beliefs.where("joint is not null").agg(*(F.coalesce(F.sum(F.col("joint")[i]), F.lit(0.0)) for i in range(n * n))).first()
+    counts = np.array(list(sums)).reshape(n, n) + weigh * typed
+    return counts / counts.sum(axis=1, keepdims=True)
+
+
+def header_odds(beliefs: DataFrame, agreed: DataFrame | None) -> DataFrame:
+    """gram and the logarithm of its odds for TOLD against handwritten, of the word sequences that say anything: counted over all files under their beliefs, or under the agreed label."""
+    rows = beliefs.select("id", "grams", *_B)
+    if agreed is not None:
+        rows = rows.join(F.broadcast(agreed), "id", "left")
+        sure = [F.when(F.col("label").isNull(), F.col(b)).otherwise(0.97 * (F.col("label") == name).cast("double") + 0.03 * F.col(b)).alias(b) for b, name in zip(_B, LABELS)]
+        rows = rows.select("id", "grams", *sure)
+    rows = shared_table(rows, "believed")
+    whole = rows.agg(*(F.coalesce(F.sum(b), F.lit(0.0)) for b in _B)).first()
+    by_hand = LABELS.index("handwritten")
+    counts = rows.select(F.explode("grams").alias("gram"), *_B).groupBy("gram").agg(F.count("*").alias("n"), *(F.sum(b).alias(b) for b in _B)).where(F.col("n") >= GRAM_FILES)
+    share = lambda i: F.log((F.col(_B[i]) + GRAM_START) / (whole[i] + 1))
+    odds = counts.select("gram", *((share(LABELS.index(name)) - share(by_hand)).alias(f"told_{name}") for name in TOLD))
+    least = GRAM_LEAST / GRAM_POWER
+    return shared_table(odds.where(" or ".join(f"{c} >= {least}" for c in _TOLD)), "odds")
+
+
+def told_by_headers(own: DataFrame, odds: DataFrame) -> DataFrame:
+    """id and, for TOLD, the greatest odds among the word sequences of the file's header, raised and bounded; 0 below what says anything."""
+    best = own.select("id", F.explode("grams").alias("gram")).join(odds, "gram").groupBy("id").agg(*(F.max(c).alias(c) for c in _TOLD))
+    raised = lambda c: F.least(F.col(c) * GRAM_POWER, F.lit(GRAM_MOST))
+    return best.select("id", *(F.when(raised(c) >= GRAM_LEAST, raised(c)).otherwise(0.0).alias(c) for c in _TOLD))
 
 
 def file_kinds(files: DataFrame, key: Column, path: Column, text: Column, labels: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
@@ -433,19 +567,16 @@ def file_kinds(files: DataFrame, key: Column, path: Column, text: Column, labels
     Files with a null text or id give no row. An empty text is a file without evidence but that of its name and place; a null path is a file in the
     root. Of rows that repeat an id one counts.
     """
-    evidence = file_features(files, key, path, text, patterns)
-    weights = fitted_weights(evidence, labels)
-    logits = []
-    for i in range(len(LABELS)):
-        value = F.lit(0.0)
-        for j in range(weights.shape[0]):
-            if weights[j, i]:
-                value = value + F.lit(float(weights[j, i])) * F.col("features")[j]
-        logits.append(value)
-    beliefs = propagate(evidence.select("id", "path", *_named("p", logits)))
-    total = _log_sum(_cols("b"))
-    best = F.greatest(*_cols("b"))
+    own = own_features(files, key, path, text, patterns)
+    agreed = agreed_labels(labels)
+    evidence = evidence_of(own)
+    first, directories = propagate(scored(evidence, fitted_weights(evidence, agreed)))
+    first = shared_table(first, "first")
+    of_file, of_directory = _counted(first, FILE_GIVEN_DIRECTORY, FILES_WEIGH), _counted(directories, DIRECTORY_GIVEN_PARENT, DIRECTORIES_WEIGH)
+    evidence = evidence_of(own, told_by_headers(own, header_odds(first, agreed)))
+    beliefs, _ = propagate(scored(evidence, fitted_weights(evidence, agreed), of_file), of_file, of_directory)
+    best = F.greatest(*_B)
     label = F.lit(LABELS[-1])
     for i in reversed(range(len(LABELS) - 1)):
-        label = F.when(F.col(f"b{i}") == best, LABELS[i]).otherwise(label)
-    return beliefs.select("id", "path", label.alias("label"), F.exp(best - total).alias("belief"))
+        label = F.when(F.col(_B[i]) == best, LABELS[i]).otherwise(label)
+    return beliefs.select("id", "path", label.alias("label"), best.alias("belief"))

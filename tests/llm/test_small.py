@@ -545,18 +545,21 @@ def test_features_see_lines_to_their_ends():
     assert not filekind._is_record("1," * 50_000 + "(")
 
 
-def test_every_glob_counts_however_many_there_are(spark):
-    patterns = spark.createDataFrame([(f"none{i}/*",) for i in range(10_500)] + [(p,) for p in ("a/*", "a/?.rs", "b.rs", "*", "", "[x", None, "a/*")], "pattern string")
-    files = spark.createDataFrame([(1, "a/b.rs"), (2, "a/cc.rs"), (3, "c.rs"), (4, None), (5, "none10499/x")], "id long, path string")
-    got = {r.id: r.n_globs for r in filekind._with_matches(files, patterns).collect()}
-    few = {r.id: r.n_globs for r in filekind._with_matches(files, patterns.where("pattern is null or pattern not like 'none%'")).collect()}
-    assert got == {1: 3.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 1.0} and few == {**got, 5: 0.0}
+def test_every_glob_counts_however_many_there_are(spark, monkeypatch):
+    patterns = spark.createDataFrame([(f"none{i}/*",) for i in range(2000)] + [(p,) for p in ("a/*", "a/?.rs", "b.rs", "*", "", "[x", None, "a/*")], "pattern string")
+    files = spark.createDataFrame([(1, "a/b.rs"), (2, "a/cc.rs"), (3, "c.rs"), (4, None), (5, "none1999/x")], "id long, path string")
+    at = filekind._ORDER.index("excluded")
+    own = filekind.own_features(files, F.col("id"), F.col("path"), F.lit("x"), patterns)
+    assert {r.id: 2 * r.own[at] for r in own.collect()} == {1: 2.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 1.0}
+    monkeypatch.setattr(filekind, "MOST_GLOB_BYTES", 100)
+    with pytest.raises(ValueError, match="bytes of exclude globs"):
+        filekind.own_features(files, F.col("id"), F.col("path"), F.lit("x"), patterns)
 
 
 def test_headers_reach_to_the_first_line_of_code():
     licence = [f"Line {i} of a licence." for i in range(30)]
     marked = "Code generated from a.idl. DO NOT EDIT."
-    head = lambda *lines: filekind.content_features("a.rs", "\n".join(lines))["head_generated"]
+    head = lambda *lines: filekind.content_features("a.rs", "\n".join(lines))["head_marked"]
     assert head(*("// " + x for x in [*licence, marked]), "fn a() {}") == 1.0
     assert head("/*", *licence, marked, "*/", "fn a() {}") == 1.0
     assert head(*("// " + x for x in licence), "#![allow(dead_code)]", "// " + marked, "fn a() {}") == 1.0
@@ -565,6 +568,25 @@ def test_headers_reach_to_the_first_line_of_code():
     assert head("fn a() {}", "// " + marked) == 1.0
 
 
+def test_sequences_of_a_header():
+    grams = filekind.header_grams
+    assert grams("// Made by tool 12\nfn a() {}") == grams("# made by 77 TOOL") and len(grams("// Made by tool 12")) == 3
+    assert len(grams("// 自动生成")) == 5 and grams("fn a() {}") == grams("") == set() and not grams("// one")
+
+
+def test_what_headers_say_is_learned_from_beliefs_and_labels(spark):
+    rows = [(i, [1, 2, 3 + i % 3], *((0.0, 1.0, 0.0, 0.0, 0.0) if i % 2 else (1.0, 0.0, 0.0, 0.0, 0.0))) for i in range(40)] + [(100 + i, [7], 1.0, 0.0, 0.0, 0.0, 0.0) for i in range(9)]
+    rows += [(200 + i, [8], 0.0, 1.0, 0.0, 0.0, 0.0) for i in range(9)] + [(300, [9], 0.0, 1.0, 0.0, 0.0, 0.0), (301, [], 1.0, 0.0, 0.0, 0.0, 0.0)]
+    beliefs = spark.createDataFrame(rows, "id long, grams array<long>, b0 double, b1 double, b2 double, b3 double, b4 double")
+    odds = {r.gram: r.told_generated for r in filekind.header_odds(beliefs, None).collect()}
+    assert set(odds) == {8} and odds[8] > 2
+    labels = spark.createDataFrame([(100 + i, "vendored") for i in range(9)] + [(200 + i, "handwritten") for i in range(9)], "id long, label string")
+    odds = filekind.header_odds(beliefs, labels)
+    assert {r.gram: r.told_vendored > 2 for r in odds.collect()} == {7: True}
+    own = spark.createDataFrame([(1, [7, 1]), (2, [1]), (3, [])], "id long, grams array<long>")
+    assert {r.id: (r.told_generated, r.told_vendored > 3) for r in filekind.told_by_headers(own, odds).collect()} == {1: (0.0, True)}
+
+
 @settings(max_examples=300, deadline=None)
 @given(line=st.text("a,:[]{}(= ", max_size=9))
 def test_records_are_what_the_expression_says(line):
@@ -583,16 +605,35 @@ def test_kinds_without_labels_patterns_or_files(spark):
     assert set(got) == {1, 2, 3}
 
 
+def believed(spark, evidence):
+    rows = []
+    for n, (p, e) in enumerate(evidence.items()):
+        up = filekind._upward(np.array([e], float), filekind.FILE_GIVEN_DIRECTORY)[0]
+        rows.append((n, p, [], *map(float, e), *map(float, up)))
+    schema = f"id long, path string, grams array<long>, {filekind._FIVE(filekind._P)}, {filekind._FIVE(filekind._U)}"
+    beliefs, directories = filekind.propagate(spark.createDataFrame(rows, schema))
+    joints = [r.joint for df in (beliefs, directories) for r in df.collect() if r.joint]
+    assert not rows or sum(map(sum, joints)) >= len(rows) - 1e-6
+    return {r.path: tuple(r[b] for b in filekind._B) for r in beliefs.collect()}
+
+
+def test_trees_too_large_for_one_task_give_the_same_beliefs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    paths = ["x", "a/x", *(f"a/b{i % 7}/c{i % 3}/f{i}" for i in range(40)), *(f"a/flat/d{i}/vendor/f{i}" for i in range(9)), "vendor/q/r/s", "deep/e/e/e/e/e/f"]
+    evidence = {p: rng.normal(size=5) * 2 for p in paths}
+    want = believed(spark, evidence)
+    monkeypatch.setattr(filekind, "SUBTREE", 3)
+    got = believed(spark, evidence)
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
+    assert believed(spark, {}) == {}
+
+
 def test_beliefs_equal_those_of_an_enumeration(spark):
     """Exact marginals of a tree of two directories and three files, by summing over all labellings."""
     rng = np.random.default_rng(4)
     evidence = {"a/b/x": rng.normal(size=5), "a/b/y": rng.normal(size=5) * 3, "a/z": rng.normal(size=5)}
-    rows = [(n, p, *map(float, e)) for n, (p, e) in enumerate(evidence.items())]
-    df = spark.createDataFrame(rows, "id long, path string, p0 double, p1 double, p2 double, p3 double, p4 double")
-    got = {}
-    for r in filekind.propagate(df).collect():
-        b = np.exp(np.array([r.b0, r.b1, r.b2, r.b3, r.b4]) - max(r.b0, r.b1, r.b2, r.b3, r.b4))
-        got[r.path] = b / b.sum()
+    beliefs = believed(spark, evidence)
+    got = {p: np.array(b) for p, b in beliefs.items()}
     name = np.exp([0.2, 0, 0, 0, 0])
     d, f = filekind.DIRECTORY_GIVEN_PARENT, filekind.FILE_GIVEN_DIRECTORY
     x, y, z = (np.exp(e) for e in evidence.values())
@@ -602,14 +643,6 @@ def test_beliefs_equal_those_of_an_enumeration(spark):
         assert got[path] == pytest.approx(want / want.sum(), abs=1e-9)
 
 
-def test_a_hot_key_is_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(filekind, "HOT_ROWS", 10)
-    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 99), ("none", 100)], "k string, i long")
-    right = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v long")
-    got = {(r.i, r.v) for r in filekind.join_with_hot_keys(left, right, "k").collect()}
-    assert got == {*((i, 1) for i in range(50)), (99, 2), (100, None)}
-
-
 def test_fit_stays_at_the_start_without_labels_and_learns_with_them():
     start = filekind.starting_weights()
     assert (filekind.fit(np.zeros((0, len(filekind.FEATURES))), np.zeros(0, int)) == start).all()
