@@ -26,6 +26,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads, from their listing; None for a table whose size the planner doesn't know."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return None if any(n > 1 << 60 for n in sizes) else sum(sizes)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
 
