@@ -34,15 +34,9 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.unionByName(files)
 
 
-def _characters(spark: SparkSession, sf_dir: str) -> int:
-    blocks = table(spark, sf_dir, "code_blocks").agg(F.sum(F.octet_length("block_text"))).first()[0]
-    lines = table(spark, sf_dir, "line_hashes").agg(F.sum(F.octet_length("norm_line") * F.size("line_nos"))).first()[0]
-    return (blocks or 0) + (lines or 0)
-
-
 @_query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = shared_spans(_records(spark, sf_dir), SPAN, _characters(spark, sf_dir))
+    matches = shared_spans(_records(spark, sf_dir), SPAN)
     return matches.select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key")).distinct()
 
 
@@ -50,7 +44,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every record is shared with other records of its kind."""
     records = _records(spark, sf_dir)
-    shares = shared_shares(records, shared_spans(records, SPAN, _characters(spark, sf_dir)))
+    shares = shared_shares(records, shared_spans(records, SPAN))
     return shares.select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key"), "n_characters", "n_shared", F.round("shared_share", 6).alias("shared_share"))
 
 

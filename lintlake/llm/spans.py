@@ -8,7 +8,9 @@ neighbours are compared character by character, so a match is exact.
 
 A minimiser that very many different strings share (the end of a header that a third of all records begin with) would make its
 bucket too large for a task. Such minimisers are found beforehand by a sample of the records, which decides about the way only, never about the
-result. Their windows travel one by one, as two independent 64-bit hashes, to buckets by the first of them, so that any number of them spreads evenly.
+result. They are made longer, by as many whole steps of ``STEP`` characters to either side as each window has room for, so that the
+windows of such a minimiser go to as many buckets as there are different surroundings of it; a longer minimiser that is still shared by too many takes in
+the whole window. In every case windows of the same text have the same bucket and are compared there character by character.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.hashing import code_points, sliding_minimum, window_hashes
-from lintlake.session import partitions
+from lintlake.llm.hashing import code_points, mixed, sliding_minimum, window_hashes
+from lintlake.session import input_bytes, partitions
 
 MINIMISER = 32
 #: Windows in one string at most: a longer stretch under one minimiser is cut, which loses no window.
@@ -33,12 +35,15 @@ HELD_CHARACTERS, BATCH_CHARACTERS = 1 << 24, 1 << 20
 #: Characters of strings that a bucket should hold, and that it sorts at once.
 BUCKET_CHARACTERS, SORT_CHARACTERS = 1 << 22, 1 << 21
 #: One record in so many is looked at for minimisers whose strings would fill a bucket or this share of all text, whichever is more.
-SAMPLE, HOT_SHARE = 16, 1e-5
-
-_SENT = "kind string, bucket int, strings binary, windows binary, matches binary"
-_COLUMNS = ["kind", "bucket", "strings", "windows", "matches"]
+SAMPLE, HOT_SHARE = 16, 1e-6
+#: Characters by which the minimiser of too full a bucket is made longer; a second time by single ones.
+STEP = 32
+#: Characters of text for a byte of a compressed file, at a guess, from which the number of buckets follows.
+CHARACTERS_OF_BYTE = 8
+
+_SENT = "kind string, bucket int, strings binary, matches binary"
+_COLUMNS = ["kind", "bucket", "strings", "matches"]
 _MATCHES = pa.schema([("key", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_WINDOWS = pa.schema([("first", pa.uint64()), ("second", pa.uint64()), ("key", pa.string()), ("start", pa.int64()), ("places", pa.int64()), ("known", pa.bool_())])
 _STRINGS = pa.schema([("minimiser", pa.uint32()), ("key", pa.string()), ("start", pa.int64()), ("known", pa.bool_()), ("text", pa.string())])
 
 
@@ -100,10 +105,11 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 class _Sender:
-    """Strings of one split, each held once with the records that have it."""
+    """Strings of one split, each held once with the records that have it; hot: minimisers, then longer ones, that are to be made longer still."""
 
-    def __init__(self, kind: str, span: int, n_buckets: int, hot: np.ndarray) -> None:
-        self.kind, self.span, self.n_buckets, self.hot = kind, span, n_buckets, hot
+    def __init__(self, kind: str, span: int, n_buckets: int, hot: tuple[np.ndarray, ...] = ()) -> None:
+        self.kind, self.span, self.n_buckets = kind, span, n_buckets
+        self.hot = [set(h.tolist()) for h in hot]
         self.held: dict[str, list] = {}
         self.characters = 0
         self.waiting: list[tuple[str, str]] = []
@@ -132,85 +138,95 @@ class _Sender:
             else:
                 seen.append((keys[r], p))
 
-    def _by_window(self, strings: list[tuple[str, str, int, bool]], matches: dict[str, list]) -> Iterator[tuple]:
-        """The windows of strings (text, key, start, known) of hot minimisers. Those with two records here are matches and go on once; of the others all places go on, places that follow each other as one row."""
-        size = np.fromiter((len(t) for t, *_ in strings), np.int64, len(strings))
-        codes = code_points("".join(t for t, *_ in strings))
-        counts = size - self.span + 1
-        string = np.repeat(np.arange(len(strings)), counts)
-        nth = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = nth + np.repeat(np.cumsum(size) - size, counts)
-        h1, h2 = window_hashes(codes, self.span, 5)[at], window_hashes(codes, self.span, 7)[at]
-        order = np.lexsort((h2, h1))
-        h1, h2, string, nth = h1[order], h2[order], string[order], nth[order]
-        names = {k: i for i, k in enumerate(dict.fromkeys(k for _, k, *_ in strings))}
-        keys = np.fromiter((names[k] for _, k, *_ in strings), np.int64, len(strings))[string]
-        known = np.fromiter((x for *_, x in strings), bool, len(strings))[string]
-        start = np.fromiter((p for *_, p, _ in strings), np.int64, len(strings))[string] + nth
-        first = _runs(h1, h2)
-        shared = _several(keys, known, first)
-        listed = list(names)
-        for i in np.flatnonzero(np.repeat(shared, np.diff(np.append(first, len(h1)))) & ~known).tolist():
-            matches["key"].append(listed[keys[i]])
-            matches["start"].append(int(start[i]))
-            matches["end"].append(int(start[i]) + self.span)
-        new = np.append(True, (keys[1:] != keys[:-1]) | (start[1:] != start[:-1] + 1))
-        new[first] = True
-        places = np.diff(np.append(np.flatnonzero(new), len(h1)))
-        shared = np.repeat(shared, np.diff(np.append(first, len(h1))))
-        begins = np.zeros(len(h1), bool)
-        begins[first] = True
-        rows = np.flatnonzero(new)
-        kept = begins[rows] | ~shared[rows]
-        rows, places = rows[kept], places[kept]
-        h1, h2, keys, start, shared = h1[rows], h2[rows], keys[rows], start[rows], shared[rows]
-        bucket = (h1 % np.uint64(self.n_buckets)).astype(np.int64)
-        for b in np.unique(bucket).tolist():
-            i = np.flatnonzero(bucket == b)
-            yield b, _pack({"first": h1[i], "second": h2[i], "key": [listed[k] for k in keys[i]], "start": start[i], "places": places[i], "known": shared[i]}, _WINDOWS)
-
     def flush(self) -> Iterator[pa.RecordBatch]:
         self.cut()
         buckets: dict[int, dict[str, list]] = {}
         matches: dict[str, list] = {f: [] for f in _MATCHES.names}
-        hot: list[tuple[str, str, int, bool]] = []
-        hot_minimisers = set(self.hot.tolist())
-        for text, (least, *places) in self.held.items():
-            known = len(places) > 1 and any(k != places[0][0] for k, _ in places)
-            if known:
-                for k, p in places:
-                    matches["key"].append(k)
-                    matches["start"].append(p)
-                    matches["end"].append(p + len(text))
-            # a string that two records of this split share needs to go on once, as evidence for others
-            going = places[:1] if known else places
-            if least in hot_minimisers:
-                hot += [(text, k, p, known) for k, p in going]
-                continue
-            rows = buckets.setdefault(least % self.n_buckets, {f: [] for f in _STRINGS.names})
-            for k, p in going:
-                for f, v in zip(_STRINGS.names, ((least >> 20) & 0xFFFFFFFF, k, p, known, text)):
-                    rows[f].append(v)
+        strings = {text: [least, [(k, p, False) for k, p in places]] for text, (least, *places) in self.held.items()}
         self.held, self.characters = {}, 0
-        out = [(b, _pack(rows, _STRINGS), None, None) for b, rows in buckets.items()]
-        part: list[tuple[str, str, int, bool]] = []
-        held = 0
-        for row in [*hot, None]:
-            if part and (row is None or held + len(row[0]) > SORT_CHARACTERS):
-                out += [(b, None, blob, None) for b, blob in self._by_window(part, matches)]
-                part, held = [], 0
-            if row is not None:
-                part.append(row)
-                held += len(row[0])
+        for level, step in enumerate([0, STEP, 1]):
+            if step:
+                strings = longer(strings, self.span, step)
+            hot = self.hot[level] if level < len(self.hot) else set()
+            again = {}
+            for text, (least, places, *plain) in strings.items():
+                if any(known or k != places[0][0] for k, _, known in places):
+                    for k, p, known in places:
+                        if not known:
+                            matches["key"].append(k)
+                            matches["start"].append(p)
+                            matches["end"].append(p + len(text))
+                    # a string that two records of this split share needs to go on once, as evidence for others
+                    places = [(*places[0][:2], True)]
+                if least in hot:
+                    again[text] = [least, places, *plain]
+                    continue
+                rows = buckets.setdefault(least % self.n_buckets, {f: [] for f in _STRINGS.names})
+                for k, p, known in places:
+                    for f, v in zip(_STRINGS.names, ((least >> 20) & 0xFFFFFFFF, k, p, known, text)):
+                        rows[f].append(v)
+            strings = again
+            if not strings:
+                break
+        out = [(b, _pack(rows, _STRINGS), None) for b, rows in buckets.items()]
         if matches["key"]:
-            out.append((len(matches["key"]) * 7919 % self.n_buckets, None, None, _pack(matches, _MATCHES)))
+            out.append((len(matches["key"]) * 7919 % self.n_buckets, None, _pack(matches, _MATCHES)))
         if out:
             columns = [[self.kind] * len(out), *map(list, zip(*out))]
-            types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            types = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _COLUMNS)
 
 
-def _send(span: int, n_buckets: int, hot: np.ndarray):
+def longer_minimisers(texts: list[str], least: np.ndarray, span: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per piece of the strings: its string, first window, number of windows, and the minimiser made longer that all its windows share.
+
+    A window's minimiser is taken at its first place in the window, with as many whole steps before and behind it as the window holds: of two windows of the same
+    text they are the same.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin, counts = np.cumsum(size) - size, size - span + 1
+    codes = code_points("".join(texts))
+    short = window_hashes(codes, MINIMISER)
+    of_place = np.repeat(least, size)[: len(short)]
+    first = np.where(short == of_place, np.arange(len(short)), len(codes))
+    first = np.minimum.accumulate(first[::-1])[::-1]
+    string = np.repeat(np.arange(len(texts)), counts)
+    nth = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = nth + begin[string]
+    place = first[at]
+    before = (place - at) // step * step
+    behind = (at + span - MINIMISER - place) // step * step
+    key = np.zeros(len(at), np.uint64)
+    for width in np.unique(before + behind).tolist():
+        i = np.flatnonzero(before + behind == width)
+        key[i] = window_hashes(codes, width + MINIMISER, 9)[place[i] - before[i]]
+    key = mixed(key + before.astype(np.uint64))
+    start = _runs(string, place, before, behind)
+    return string[start], nth[start], np.diff(np.append(start, len(at))), key[start]
+
+
+def longer(strings: dict[str, list], span: int, step: int) -> dict[str, list]:
+    """The strings (text to minimiser and places) cut into pieces with longer minimisers, each piece once with all its places."""
+    out: dict[str, list] = {}
+    part: list[tuple[str, list]] = []
+    held = 0
+    for row in [*strings.items(), None]:
+        if part and (row is None or held + len(row[0]) > SORT_CHARACTERS):
+            texts = [text for text, _ in part]
+            # the second time the place is that of the plain minimiser again, which any window has: the least hash in it
+            least = np.array([v[0] if len(v) == 2 else v[2] for _, v in part], np.uint64)
+            for i, at, n, key in zip(*(x.tolist() for x in longer_minimisers(texts, least, span, step))):
+                text = texts[i][at : at + n + span - 1]
+                value = out.setdefault(text, [key, [], int(least[i])])
+                value[1] += [(k, p + at, known) for k, p, known in part[i][1][1]]
+            part, held = [], 0
+        if row is not None:
+            part.append(row)
+            held += len(row[0])
+    return out
+
+
+def _send(span: int, n_buckets: int, hot: tuple[np.ndarray, ...]):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         senders: dict[str, _Sender] = {}
         for batch in batches:
@@ -225,38 +241,44 @@ def _send(span: int, n_buckets: int, hot: np.ndarray):
     return split
 
 
-def _loads(span: int):
-    """Characters of distinct strings by minimiser in the sample of a split: of those minimisers only that hold a part in ten thousand of it."""
+def _loads(span: int, hot: np.ndarray | None):
+    """Characters of distinct strings by minimiser in the sample of a split, or by longer minimiser of the hot ones' pieces."""
+    wanted = set() if hot is None else set(hot.tolist())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender("", span, 1, np.zeros(0, np.uint64))
+        sender = _Sender("", span, 1)
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 sender.add(key, text)
                 if sender.characters >= HELD_CHARACTERS:
-                    yield from some(sender)
-                    sender = _Sender("", span, 1, np.zeros(0, np.uint64))
-        yield from some(sender)
+                    yield some(sender)
+                    sender = _Sender("", span, 1)
+        yield some(sender)
 
-    def some(sender: _Sender) -> Iterator[pa.RecordBatch]:
+    def some(sender: _Sender) -> pa.RecordBatch:
         sender.cut()
+        strings = {text: [v[0], []] for text, v in sender.held.items() if hot is None or v[0] in wanted}
         load: dict[int, int] = {}
-        for text, (least, *_) in sender.held.items():
+        for text, (least, *_) in (strings if hot is None else longer(strings, span, STEP)).items():
             load[least] = load.get(least, 0) + len(text)
-        kept = {m: n for m, n in load.items() if n > sender.characters / 10_000}
-        yield pa.RecordBatch.from_arrays([pa.array([m - (1 << 63) for m in kept], pa.int64()), pa.array(list(kept.values()), pa.int64())], ["minimiser", "load"])
+        return pa.RecordBatch.from_arrays([pa.array([m - (1 << 63) for m in load], pa.int64()), pa.array(list(load.values()), pa.int64())], ["minimiser", "load"])
 
     return split
 
 
-def hot_minimisers(records: DataFrame, span: int, characters: int) -> np.ndarray:
-    """Minimisers of more than BUCKET_CHARACTERS and HOT_SHARE of all text by the sample: at most 1/HOT_SHARE times the blow-up of strings, so a bounded list."""
+def hot_minimisers(records: DataFrame, span: int, characters: int) -> tuple[np.ndarray, ...]:
+    """Minimisers of more than BUCKET_CHARACTERS and HOT_SHARE of all text by the sample, and of these the longer ones that are: at most 1/HOT_SHARE times the blow-up of strings, so bounded lists."""
     limit = max(BUCKET_CHARACTERS, characters * HOT_SHARE) / SAMPLE
     if characters < 8 * BUCKET_CHARACTERS:
-        return np.zeros(0, np.uint64)
+        return ()
     sample = records.where(F.pmod(F.xxhash64("kind", "key"), F.lit(SAMPLE)) == 0).select("key", "text")
-    rows = sample.mapInArrow(_loads(span), "minimiser long, load long").groupBy("minimiser").agg(F.sum("load").alias("load")).where(F.col("load") > limit).collect()
-    return np.array([r[0] + (1 << 63) for r in rows], np.uint64)
+    found: list[np.ndarray] = []
+    while len(found) < 2:
+        rows = sample.mapInArrow(_loads(span, found[0] if found else None), "minimiser long, load long").groupBy("minimiser").agg(F.sum("load").alias("load")).where(F.col("load") > limit).collect()
+        if not rows:
+            break
+        found.append(np.array([r[0] + (1 << 63) for r in rows], np.uint64))
+    return tuple(found)
 
 
 def _same(codes: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> bool:
@@ -320,26 +342,10 @@ def _chunks(strings: pa.Table) -> Iterator[pa.Table]:
         yield strings.slice(a, b - a)
 
 
-def _match_windows(blobs: list[bytes], span: int) -> pa.Table:
-    """Matches among windows by their two hashes; what is known here was reported by the split that knew."""
-    table = pa.concat_tables([_unpack(b) for b in blobs])
-    h1, h2 = table.column("first").to_numpy(), table.column("second").to_numpy()
-    order = np.lexsort((h2, h1))
-    keys = table.column("key").combine_chunks().dictionary_encode()
-    known = table.column("known").to_numpy(zero_copy_only=False)[order]
-    first = _runs(h1[order], h2[order])
-    shared = np.repeat(_several(keys.indices.to_numpy()[order], known, first), np.diff(np.append(first, len(order)))) & ~known
-    at = order[shared]
-    start, places = table.column("start").to_numpy()[at], table.column("places").to_numpy()[at]
-    return pa.table({"key": table.column("key").take(pa.array(at)), "start": start, "end": start + places - 1 + span}).cast(_MATCHES)
-
-
 def _match(span: int):
     def bucket(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         found = [_unpack(b) for b in table.column("matches").to_pylist() if b]
-        windows = [b for b in table.column("windows").to_pylist() if b]
-        found += [_match_windows(windows, span)] if windows else []
         blobs = [b for b in table.column("strings").to_pylist() if b]
         strings = pa.concat_tables([_unpack(b) for b in blobs]).combine_chunks() if blobs else _STRINGS.empty_table()
         strings = strings.take(pc.sort_indices(strings, sort_keys=[("minimiser", "ascending")]))
@@ -369,13 +375,14 @@ def shared_spans(records: DataFrame, span: int, characters: int | None = None) -
     """kind, key, start, end (from 0, end excluded) of stretches whose every window of ``span`` characters another record of the kind has too.
 
     records: kind, key, text (strings). Rows with the same kind and key are one record and no match for each other; rows with a null
-    in any column and texts shorter than ``span`` have no windows. Stretches of one record may overlap or repeat. ``characters`` (all text, counted if
-    not given) sets the number of buckets. A text shared by any number of records leaves each split once. A window of a text is compared
+    in any column and texts shorter than ``span`` have no windows. Stretches of one record may overlap or repeat. ``characters`` (all text, by the size of
+    the files read if not given) sets the number of buckets. A text shared by any number of records leaves each split once. A window of a text is compared
     with the windows in its bucket only, so no pair of records is ever formed.
     """
     records = records.select("kind", "key", "text").where(F.col("kind").isNotNull() & F.col("key").isNotNull() & (F.length("text") >= span))
     if characters is None:
-        characters = records.agg(F.sum(F.length("text"))).first()[0] or 0
+        size = input_bytes(records)
+        characters = CHARACTERS_OF_BYTE * size if size is not None else records.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = max(4 * partitions(records.sparkSession), -(-2 * characters // BUCKET_CHARACTERS))
     sent = records.mapInArrow(_send(span, n_buckets, hot_minimisers(records, span, characters)), _SENT)
     return sent.groupBy("kind", "bucket").applyInArrow(_match(span), "kind string, key string, start long, end long")

@@ -106,26 +106,38 @@ def test_shared_spans_equal_brute_force(spark, span):
     assert shared(spark, records, span) == brute_spans(records, span)
 
 
-def test_windows_of_hot_minimisers_go_one_by_one(spark, monkeypatch):
-    monkeypatch.setattr(spans, "BUCKET_CHARACTERS", 300)
-    monkeypatch.setattr(spans, "SAMPLE", 1)
+def hot_records():
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
     header = word(150)
     records = [(f"r{i}", (header if i % 3 else "") + word(rng.randrange(80, 120)) + (word(10) + header[:70] if i % 5 == 0 else "")) for i in range(60)]
-    records += [("r0", records[0][1]), ("copy", records[1][1]), ("copy2", records[1][1])]
+    return [*records, ("r0", records[0][1]), ("copy", records[1][1]), ("copy2", records[1][1]), ("run", "x" * 300), ("xs", "y" + "x" * 90 + "y")]
+
+
+def test_hot_minimisers_are_made_longer(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BUCKET_CHARACTERS", 300)
+    monkeypatch.setattr(spans, "SAMPLE", 1)
+    records = hot_records()
     df = spark.createDataFrame([("k", k, t) for k, t in records], "kind string, key string, text string")
-    assert len(spans.hot_minimisers(df, 60, 10_000)) > 0
+    hot = spans.hot_minimisers(df, 60, 10_000)
+    assert len(hot) == 2 and all(len(h) for h in hot)
     assert shared(spark, records, 60) == brute_spans(records, 60)
 
 
-def test_all_places_of_a_hot_window_are_shared_with_a_partner_in_another_split(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_the_way_of_hot_windows_changes_no_result(spark, monkeypatch, levels):
     rng = random.Random(12)
     word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
     header, block = word(90), word(130)
     records = [("run", "x" * 9000 + word(50) + "x" * 80), ("xs", "y" + "x" * 100 + "y"), ("twice", header + block + word(70) + header + block), ("once", word(30) + header + block), ("alone", 2 * word(100))]
-    hot = np.unique(np.concatenate([spans.super_kmers([t], 60)[4] for _, t in records]))
-    monkeypatch.setattr(spans, "hot_minimisers", lambda *_: hot)
+
+    every = np.unique(np.concatenate([spans.super_kmers([t], 60)[4] for _, t in records]))
+    strings = {}
+    for _, t in records:
+        whole, _, start, windows, least = spans.super_kmers([t], 60)
+        strings |= {whole[s : s + n + 59]: [m, []] for s, n, m in zip(start.tolist(), windows.tolist(), least.tolist())}
+    longer = np.array([v[0] for v in spans.longer(strings, 60, spans.STEP).values()], np.uint64)
+    monkeypatch.setattr(spans, "hot_minimisers", lambda *_: (every, longer)[:levels])
     df = spark.createDataFrame(spark.sparkContext.parallelize([("k", k, t) for k, t in records], len(records)), "kind string, key string, text string")
     got = {}
     for r in spans.shared_spans(df, 60).collect():
@@ -133,6 +145,20 @@ def test_all_places_of_a_hot_window_are_shared_with_a_partner_in_another_split(s
     assert got == brute_spans(records, 60)
 
 
+@pytest.mark.parametrize("step", [32, 5, 1])
+def test_equal_windows_have_equal_longer_minimisers(step):
+    texts = [t for _, t in hot_records() if len(t) >= 60]
+    whole, record, start, windows, least = spans.super_kmers(texts, 60)
+    strings = [whole[s : s + n + 59] for s, n in zip(start.tolist(), windows.tolist())]
+    string, first, count, key = spans.longer_minimisers(strings, least, 60, step)
+    keys = {}
+    for i, a, n, k in zip(string.tolist(), first.tolist(), count.tolist(), key.tolist()):
+        for w in range(a, a + n):
+            keys.setdefault(strings[i][w : w + 60], set()).add(k)
+    assert all(len(k) == 1 for k in keys.values()) and sum(count) == sum(windows)
+    assert step > 1 or len(set.union(*keys.values())) == len(keys)
+
+
 def test_repetition_inside_one_record_is_no_match(spark):
     assert shared(spark, [("a", "abcdefghij" * 60), ("a", "abcdefghij" * 60)], 50) == {}
 
