@@ -49,17 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def clear(spark: SparkSession | None = None) -> None:
+    """Remove the intermediate tables written so far (by ``spark``, or by any session): for long sessions, once the results that read them have been taken."""
+    mine = [(s, p) for s, p in _written if spark is None or s is spark]
+    _written[:] = [x for x in _written if x not in mine]
+    for owner, path in mine:
         try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+            jvm, jsc = owner.sparkContext._jvm, owner.sparkContext._jsc
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001 - the session may be gone, the folder is temporary
             pass
 
 
-atexit.register(_remove_written)
+atexit.register(clear)
 
 
 def shared_table(df: DataFrame, tag: str) -> DataFrame:
