@@ -223,3 +223,56 @@ SQL |= {
             when contains(rule_name, 'clone') then 'Borrow where a clone isn''t needed' else 'Work through the ' || n || ' findings of ' || rule_name end as suggestion from top where position <= 3
         union all select 4, null, 'More than 50 findings in a thousand lines: plan a clean-up' from dense where d > 50""",
 }
+
+# Rules on the structure around a token: where its bracket opens and closes, and what encloses it
+
+FUNCTIONS = """angled as (select *, sum(case when t = '<' then 1 when t = '>' and coalesce(p1, '') not in ('-', '=') then -1 else 0 end) over (partition by file_path order by i) as angle,
+        concat_ws(' ', p2, p1, '') as before, lag(t, 3) over w as p3, lag(t, 4) over w as p4 from tokens window w as (partition by file_path order by i)),
+    heads as (select a.* from angled a semi join kept k using (file_path, i) where t = 'fn' and regexp_matches(n1, '^[A-Za-z_]')),
+    free as (select * from heads f where not exists (select 1 from ranges r join tokens x on x.file_path = r.file_path where r.kind = 'impl' and r.file_path = f.file_path and x.i = f.i and f.i > r.a and f.i < r.b and x.depth = r.depth)),
+    parens as (select f.file_path, f.i, f.n1 as name, min(x.i) as a, any_value(f.depth) as depth from free f join angled x on x.file_path = f.file_path and x.i > f.i and x.t = '(' and x.depth = f.depth + 1 and x.angle = f.angle group by all),
+    closed as (select p.*, min(x.i) as b from parens p join tokens x on x.file_path = p.file_path and x.i > p.a and x.depth = p.depth group by all),
+    commas as (select c.file_path, c.i, c.name, c.a, c.b, count(x.i) filter (where x.t = ',' and x.depth = c.depth + 1 and x.angle = o.angle) as commas, arg_max(x.t, x.i) as last
+        from closed c join angled o on o.file_path = c.file_path and o.i = c.a left join angled x on x.file_path = c.file_path and x.i > c.a and x.i < c.b group by c.file_path, c.i, c.name, c.a, c.b),
+    parameters as (select file_path, i, name, commas + case when b > a + 1 and last <> ',' then 1 else 0 end as n from commas),
+    ended as (select c.file_path, c.i, min(x.i) as e from closed c join tokens x on x.file_path = c.file_path and x.i > c.b and (x.t = '{' and x.depth = c.depth + 1 or x.t = ';' and x.depth = c.depth) group by all),
+    bodies as (select e.file_path, e.i, e.e, min(x.i) as z from ended e join tokens o on o.file_path = e.file_path and o.i = e.e and o.t = '{' join tokens x on x.file_path = e.file_path and x.i > e.e and x.depth = o.depth - 1 group by all)"""
+_CONTROL = " + ".join(f"(length(x.t) - length(replace(x.t, '{w}', ''))) // {len(w)}" for w in ("if", "else", "for", "while", "match", "loop"))
+MATCHES = """starts as (select m.file_path, m.i, min(x.i) as a, any_value(m.depth) as depth from kept m join kept x on x.file_path = m.file_path and x.i > m.i and x.t = '{' and x.depth = m.depth + 1 where m.t = 'match' group by m.file_path, m.i),
+    ends as (select s.*, min(x.i) as b from starts s join tokens x on x.file_path = s.file_path and x.i > s.a and x.depth = s.depth group by all),
+    inner_tokens as (select e.file_path, e.a, x.i, x.t, x.n1, x.n2, x.depth = e.depth + 1 as flat from ends e join kept x on x.file_path = e.file_path and x.i > e.a and x.i < e.b),
+    cuts as (select *, flat and t = '=' and n1 = '>' as arrow, flat and (t = ',' or t = '}' and not (n1 = '=' and n2 = '>')) as cut from inner_tokens),
+    arms as (select *, coalesce(sum(arrow::int) over (partition by file_path, a order by i rows between unbounded preceding and 1 preceding), 0) as nth,
+        max(case when cut then i end) over (partition by file_path, a order by i) as last_cut, sum(arrow::int) over (partition by file_path, a) as n from cuts),
+    patterns as (select x.file_path, x.a, any_value(x.n) as n, bool_or(contains(x.t, 'Ok')) as ok, bool_or(contains(x.t, 'Err')) as err
+        from arms x join arms w on w.file_path = x.file_path and w.a = x.a and w.arrow and x.i < w.i and x.i > coalesce(w.last_cut, w.a) and x.nth = w.nth group by x.file_path, x.a)"""
+_MODULES = """modules as (select o.file_path, o.i, o.depth, min(x.i) as b from kept o join tokens x on x.file_path = o.file_path and x.i > o.i and x.depth < o.depth where o.t = '{' and o.p2 = 'mod' group by all),
+    nested as (select m.file_path, m.i, 1 + count(o.i) as n from modules m left join modules o on o.file_path = m.file_path and o.i < m.i and o.b > m.b group by all)"""
+
+
+def _deep(rule: str, limit: int, severity: str) -> str:
+    return _with(FILES, TOKENS, _MODULES) + f"select file_path, {_ROW.format(rule, severity, 'Sarcastic')}, n::varchar as subject from nested where n > {limit}"
+
+
+SQL |= {
+    "rule_god_function": _with(FILES, TOKENS, FUNCTIONS) + f""", controls as (select b.file_path, b.i, sum(case when x.t <> 'else' then {_CONTROL} else 0 end) + count(*) filter (where x.t = 'if') as m
+            from bodies b join tokens x on x.file_path = b.file_path and x.i > b.e and x.i < b.z where regexp_matches(x.t, '^[A-Za-z_]') group by all),
+        scored as (select p.file_path, p.name, 2 * greatest(p.n - 5, 0) + coalesce(m, 0) as score from parameters p left join controls using (file_path, i))
+        select file_path, {_ROW.format("god-function", "case when score > 25 then 'Spicy' else 'Mild' end", "Sarcastic")}, name as subject from scored where score > 15""",
+    "rule_match_abuse": _with(FILES, TOKENS, MATCHES) + f"""select file_path, {_ROW.format("match-abuse", "'Mild'", "Gentle")}, 'Option' as subject from patterns where n = 2
+        union all select file_path, {_ROW.format("match-abuse", "'Mild'", "Gentle")}, 'Result' from patterns where n = 2 and ok and err""",
+    "rule_async_abuse": _with(FILES, TOKENS) + f""", events as (select file_path, i, t, sum((t = 'async')::int) over w as m, sum((t = 'await')::int) over w as n from kept
+            where t = 'async' and (n1 = '{{' or n1 = 'move' and n2 = '{{') or t = 'await' and p1 = '.' window w as (partition by file_path order by i))
+        select file_path, {_ROW.format("async-abuse", "'Spicy'", "Sarcastic")}, m::varchar as subject from events where m > 10 union all select file_path, {_ROW.format("async-abuse", "'Mild'", "Gentle")}, n::varchar from events where n > 20""",
+    "rule_module_complexity": _deep("module-complexity", 5, "'Spicy'"),
+    "rule_module_nesting": _deep("deep-module-nesting", 3, "case when n > 5 then 'Spicy' else 'Mild' end"),
+}
+_EXTERNS = """blocks as (select o.file_path, o.i, min(x.i) as b from kept o join tokens x on x.file_path = o.file_path and x.i > o.i and x.t = '}' and x.depth = o.depth
+        where o.t = 'extern' and (o.n1 = '{' or starts_with(o.n1, '"') and o.n2 = '{') group by all),
+    declared as (select b.file_path, b.i, count(x.i) as n, true as block from blocks b left join tokens x on x.file_path = b.file_path and x.i > b.i and x.i < b.b and x.t = 'fn' group by all
+        union all select file_path, i, 1, false from free where p1 = '"C"' and p2 = 'extern'),
+    counted as (select *, sum(n) over (partition by file_path order by i) as so_far from declared)"""
+SQL["rule_unsafe_abuse"] = SQL["rule_unsafe_abuse"].replace(_with(FILES, TOKENS), _with(FILES, TOKENS, FUNCTIONS)) + f""" union all select file_path, {_ROW.format("unsafe-abuse", "'Nuclear'", "Savage")}, n::varchar from (select file_path, {_n("unsafe fn")} + coalesce(m, 0) as n
+    from parsed left join (select file_path, count(*) as m from free where 'unsafe' in (p1, p2, p3, p4) group by 1) using (file_path)) where n > 2"""
+SQL["rule_ffi_abuse"] = SQL["rule_ffi_abuse"].replace(_with(FILES), _with(FILES, TOKENS, FUNCTIONS, _EXTERNS)) + f""" union all select file_path, {_ROW.format("ffi-abuse", "'Spicy'", "Sarcastic")}, so_far::varchar from counted where block and so_far > 10
+    union all select file_path, {_ROW.format("ffi-abuse", "'Spicy'", "Sarcastic")}, n::varchar from (select file_path, count(*) as n from blocks group by 1) where n > 2"""

@@ -9,6 +9,7 @@ from lintlake.functions.text import severity_name
 from lintlake.operators import rules, scoring, shame, texts
 from lintlake.plans.analysis import analyze
 from lintlake.plans.oracle import SQL
+from lintlake.plans.samples import EXPECTED, sample_issues
 from lintlake.session import shared_table, table
 from lintlake.sources.files import excluded, is_rust, kept_by_owner, stored_files
 
@@ -104,6 +105,15 @@ def rule_line_duplication(spark, sf_dir):
     return rows.select("file_path", "line", F.col("subject").cast("long").alias("n_lines"), "severity")
 
 
+@_query
+def rules_on_samples(spark, sf_dir):
+    """Every rule over a small source that triggers it: what the stored files don't contain."""
+    return sample_issues(spark)
+
+
+SQL["rules_on_samples"] = EXPECTED
+
+
 @_query
 def all_rules(spark, sf_dir):
     """All 39 rules in one plan, counted by file, rule and severity."""
