@@ -114,7 +114,8 @@ def top_n_per_group(df: DataFrame, group: Column, order: list[tuple[Column, bool
         if f.dataType.typeName() in ("double", "float"):
             rows = rows.where(~F.isnan(f.name)).withColumn(f.name, F.col(f.name) + F.lit(0.0).cast(f.dataType))
     ways = [True, *(up for _, up in order), True]
-    pruned = rows.mapInArrow(_prune([(c, "ascending" if up else "descending") for c, up in zip(names, ways)], n), rows.schema)
+    # written once: the range partitioning reads them twice, to sample and to sort
+    pruned = shared_table(rows.mapInArrow(_prune([(c, "ascending" if up else "descending") for c, up in zip(names, ways)], n), rows.schema), "pruned")
     keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in zip(names, ways)]
     ordered = pruned.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     placed_schema = StructType([
