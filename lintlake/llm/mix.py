@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.encode import TOKENIZERS, WORDS
 from lintlake.llm.running import running_sum
-from lintlake.session import shared_table
+from lintlake.session import shared_table, spread
 
 #: A list of sources is written by hand; beyond this it is no such list.
 MOST_SOURCES = 100_000
@@ -39,7 +39,7 @@ def token_sizes(df: DataFrame, key: Column, source: Column, text: Column, tokeni
     """doc_id, source and n_tokens of every row; null and empty texts have 0 tokens."""
     with open(os.path.join(folder or TOKENIZERS, f"{tokenizer}.tiktoken"), "rb") as f:
         lines = f.read()
-    rows = df.select(key.alias("doc_id"), source.alias("source"), text.alias("text__"))
+    rows = spread(df.select(key.alias("doc_id"), source.alias("source"), text.alias("text__")))
     return rows.mapInArrow(_count(lines), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, n_tokens long")
 
 
@@ -76,11 +76,11 @@ def weighted_mix(sized: DataFrame, targets: DataFrame, budget: int | None = None
     passes = F.broadcast(spark.createDataFrame([(s, share[s], need[s]) for s in held], schema))
     queued = sized.join(passes, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).drop("passes")
     queued = queued.withColumn("shuffled", F.xxhash64(F.lit(seed), "copy", "doc_id"))
-    queued = running_sum(queued, ["copy", "shuffled", "doc_id"], "n_tokens", "source_tokens", group="source")
+    queued = running_sum(queued, ["copy", "shuffled", "doc_id"], {"n_tokens": "source_tokens"}, group="source")
     queued = queued.withColumn("finish_time", F.col("source_tokens") / F.col("share")).withColumn("one", F.lit(1).cast("long"))
     order = ["finish_time", "source", "copy", "shuffled", "doc_id"]
-    mixed = running_sum(queued, order, "n_tokens", "total_tokens").where(F.col("total_tokens") <= budget)
-    mixed = running_sum(mixed, order, "one", "position")
+    # what fits is a beginning of the order, so positions before the cut are those after it
+    mixed = running_sum(queued, order, {"n_tokens": "total_tokens", "one": "position"}).where(F.col("total_tokens") <= budget)
     return mixed.select("doc_id", "source", "copy", "n_tokens", "finish_time", "position", "total_tokens")
 
 

@@ -16,14 +16,13 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from lintlake.session import partitions, shared_table
 
 
-def _running(group: str | None, value: str, into: str, schema: pa.Schema):
+def _running(group: str | None, sums: dict[str, str], schema: pa.Schema):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, last = TaskContext.get().partitionId(), 0, None
+        part, held, last = TaskContext.get().partitionId(), dict.fromkeys(sums, 0), None
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            total = np.cumsum(batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64))
             start = np.zeros(n, bool)
             if group:
                 keys = batch.column(group)
@@ -31,37 +30,44 @@ def _running(group: str | None, value: str, into: str, schema: pa.Schema):
                 start[0] = keys[0].as_py() != last
                 last = keys[n - 1].as_py()
             before = np.maximum.accumulate(np.where(start, np.arange(n), -1))
-            base = np.where(before > 0, total[np.maximum(before - 1, 0)], np.where(before == 0, 0, -held))
-            total = total - base
-            held = int(total[-1])
-            table = pa.Table.from_batches([batch]).append_column("part__", pa.array(np.full(n, part, np.int32))).append_column(into, pa.array(total))
+            table = pa.Table.from_batches([batch]).append_column("part__", pa.array(np.full(n, part, np.int32)))
+            for value, into in sums.items():
+                total = np.cumsum(batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64))
+                total = total - np.where(before > 0, total[np.maximum(before - 1, 0)], np.where(before == 0, 0, -held[value]))
+                held[value] = int(total[-1])
+                table = table.append_column(into, pa.array(total))
             yield from table.select(schema.names).cast(schema).to_batches()
 
     return split
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, into: str, group: str | None = None) -> DataFrame:
-    """``df`` with ``into``: the sum of ``value`` over the rows up to this one in the order (group, *order), within the group.
+def running_sum(df: DataFrame, order: list[str], sums: dict[str, str], group: str | None = None) -> DataFrame:
+    """``df`` with a column for each of ``sums`` (value: name): the sum of the value over the rows up to this one in the order (group, *order), within the group.
 
-    ``value`` is a non-negative integer column without nulls; ``group`` (no nulls) and ``order`` must make rows distinct, or equal rows get the sums of
+    Values are non-negative integer columns without nulls; ``group`` (no nulls) and ``order`` must make rows distinct, or equal rows get the sums of
     either order. The table is range-partitioned and sorted, every partition sums from its own start, and the totals of the
     partitions before it (one row per partition and group in it, so partitions + groups rows) are added.
     """
     spark = df.sparkSession
     keys = [group, *order] if group else order
-    schema = StructType([*df.schema.fields]).add("part__", IntegerType()).add(into, LongType())
+    names = list(sums.values())
+    schema = StructType([*df.schema.fields]).add("part__", IntegerType())
+    for name in names:
+        schema = schema.add(name, LongType())
     ordered = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    local = shared_table(ordered.mapInArrow(_running(group, value, into, to_arrow_schema(schema)), schema), "running")
+    local = shared_table(ordered.mapInArrow(_running(group, sums, to_arrow_schema(schema)), schema), "running")
     group_column = F.col(group) if group else F.lit("")
-    ends = local.groupBy("part__", group_column.cast("string").alias("group__")).agg(F.max(into).alias("sum__")).collect()
-    sums: dict[str, int] = {}
+    ends = local.groupBy("part__", group_column.cast("string").alias("group__")).agg(*(F.max(name) for name in names)).collect()
+    so_far: dict[str, list[int]] = {}
     before = []
-    for part, name, total in sorted(ends):
-        if sums.get(name):
-            before.append((part, name, sums[name]))
-        sums[name] = sums.get(name, 0) + total
+    for part, name, *totals in sorted(ends):
+        held = so_far.setdefault(name, [0] * len(names))
+        if any(held):
+            before.append((part, name, *held))
+        so_far[name] = [a + b for a, b in zip(held, totals)]
     if before:
-        offsets = F.broadcast(spark.createDataFrame(before, "part__ int, group__ string, before__ long"))
+        offset = [f"before{i}__" for i in range(len(names))]
+        offsets = F.broadcast(spark.createDataFrame(before, "part__ int, group__ string, " + ", ".join(f"{c} long" for c in offset)))
         local = local.withColumn("group__", group_column.cast("string")).join(offsets, ["part__", "group__"], "left")
-        local = local.withColumn(into, F.col(into) + F.coalesce("before__", F.lit(0))).drop("before__", "group__")
+        local = local.withColumns({name: F.col(name) + F.coalesce(c, F.lit(0)) for name, c in zip(names, offset)}).drop(*offset, "group__")
     return local.drop("part__")

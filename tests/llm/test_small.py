@@ -60,12 +60,14 @@ def test_top_n_equals_brute_force(spark, rows):
 def test_running_sum_over_partitions(spark):
     rng = random.Random(2)
     rows = [(rng.choice("aab"), i, rng.randrange(5)) for i in range(3000)]
-    out = running_sum(spark.createDataFrame(rows, "g string, i long, v long"), ["i"], "v", "total", "g")
+    out = running_sum(spark.createDataFrame([(*r, 1) for r in rows], "g string, i long, v long, one long"), ["i"], {"v": "total", "one": "nth"}, "g")
     want, sums = {}, {}
     for g, i, v in sorted(rows):
         want[g, i] = sums[g] = sums.get(g, 0) + v
-    assert {(r.g, r.i): r.total for r in out.collect()} == want
-    assert running_sum(spark.createDataFrame([], "g string, i long, v long"), ["i"], "v", "total").collect() == []
+    got = out.collect()
+    assert {(r.g, r.i): r.total for r in got} == want
+    assert {(r.g, r.nth) for r in got} == {(g, n + 1) for g in "ab" for n in range(sum(r[0] == g for r in rows))}
+    assert running_sum(spark.createDataFrame([], "g string, i long, v long"), ["i"], {"v": "total"}).collect() == []
 
 
 # Problem 2
