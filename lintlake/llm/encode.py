@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
+from lintlake.session import spread
+
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("LINTLAKE_TOKENIZERS", "/opt/tokenizers")
 #: Distinct words that one recursive query works on at a time, by bytes, and words that a partition remembers.
@@ -212,7 +214,7 @@ def encode_texts(df: DataFrame, key: Column, text: Column, tokenizer: str = "byt
     Each partition asks for every distinct word once, so the recursive query sees its vocabulary rather than its running text.
     """
     merges, of_byte = merge_table(tokenizer, folder)
-    rows = df.select(key.alias("id__"), text.alias("text__"))
+    rows = spread(df.select(key.alias("id__"), text.alias("text__")))
     kind = rows.schema["id__"].dataType.simpleString()
     name = df.select(key).columns[0]
     return rows.mapInArrow(_encode(merges, of_byte), f"id__ {kind}, ids array<int>").withColumnRenamed("id__", name)

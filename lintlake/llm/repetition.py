@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashing import code_points, window_hashes
-from lintlake.session import partitions, shared_table
+from lintlake.session import partitions, shared_table, spread
 
 #: Length of the substrings, and of the shortest normalised text that has a share at all.
 SPAN, SHORTEST = 20, 200
+#: Words of running text for a bucket of the language model, so that a bucket's trigrams and their occurrences fit a task.
+BUCKET_WORDS = 1 << 21
 
 
 def repeated_share(text: str | None, span: int = SPAN, shortest: int = SHORTEST) -> float:
@@ -41,7 +43,7 @@ def repeated_shares(df: DataFrame, key: Column, text: Column) -> DataFrame:
     Runs of space, tab, CR and LF become one space, outer spaces go, letters become lower case. Null, empty and white texts and those
     then shorter than 200 characters have the share 0. A text of any length is measured whole, in its own row; nothing is shuffled.
     """
-    rows = df.select(key.alias("doc_id"), text.alias("text__"))
+    rows = spread(df.select(key.alias("doc_id"), text.alias("text__")))
     return rows.mapInArrow(_shares, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, repeated_share double")
 
 
@@ -139,10 +141,11 @@ def perplexities(df: DataFrame, key: Column, lang: Column, text: Column) -> Data
     is read by several tasks, each with a share of the documents and a copy of its arrays.
     """
     spark = df.sparkSession
-    n_buckets = 4 * partitions(spark)
     rows = df.select(key.alias("doc_id"), F.coalesce(F.lower(F.trim(lang)), F.lit("unknown")).alias("lang"), text.alias("text__"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    words = shared_table(rows.mapInArrow(_words, f"doc_id {kind}, lang string, words array<long>"), "words")
+    words = shared_table(spread(rows).mapInArrow(_words, f"doc_id {kind}, lang string, words array<long>"), "words")
+    total = words.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_buckets = max(4 * partitions(spark), -(-total // BUCKET_WORDS))
     bucket = F.pmod("gram", F.lit(n_buckets)).cast("int")
     model = shared_table(kneser_ney(words).withColumn("bucket", bucket), "model")
     load = {r[0]: r[1] for r in model.groupBy("bucket").agg(F.sum("c").alias("n")).collect()}
