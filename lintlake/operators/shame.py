@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintlake.functions.text import basename, parent_directory, severity_rank
 from lintlake.operators.dims import SHAME_WEIGHTS, family_of
 from lintlake.operators.scoring import density
+from lintlake.operators.texts import number_of
 
 
 def shame_score(nuclear: Column, spicy: Column, mild: Column) -> Column:
@@ -67,7 +68,7 @@ def heatmap(entries: DataFrame) -> DataFrame:
 
 def anonymous_stats(issues: DataFrame, buckets: int = 100) -> DataFrame:
     """developer (a bucket of the path's hash) and its issues."""
-    name = F.concat(F.lit("Developer_"), F.pmod(F.xxhash64("file_path"), F.lit(buckets)))
+    name = F.concat(F.lit("Developer_"), number_of(F.col("file_path")) % buckets)
     return issues.groupBy(name.alias("developer")).agg(F.count("*").alias("n_issues"))
 
 

@@ -92,9 +92,9 @@ REMARKS = {
 GENERAL_REMARK = {"en-US": "Code needs improvement", "zh-CN": "代码需要改进"}
 
 
-def seeded_number(seed: Column, name: Column) -> Column:
-    """A number below 2^31 that depends on seed and name alone: the same on every machine and in every engine that has md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), name).cast("binary")), 1, 8), 16, 10).cast("long") % (1 << 31)
+def number_of(text: Column) -> Column:
+    """A number below 2^31 that depends on the text alone: the same on every machine and in every engine that has md5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % (1 << 31)
 
 
 def remark(category: Column, score: Column, seed: Column, lang: str = "en-US", least: float = 60.0) -> Column:
@@ -102,7 +102,7 @@ def remark(category: Column, score: Column, seed: Column, lang: str = "en-US", l
     lang = lang if lang in LANGUAGES else LANGUAGES[0]
     pools = F.create_map(*[x for name, texts in REMARKS.items() for x in (F.lit(name), F.array(*map(F.lit, texts[lang])))])
     pool = F.coalesce(pools[category], F.array(F.lit(GENERAL_REMARK[lang])))
-    return F.when(score >= least, pick(pool, seeded_number(seed, category)))
+    return F.when(score >= least, pick(pool, number_of(F.concat_ws(":", seed.cast("string"), category))))
 
 
 def with_message(issues: DataFrame, lang: str = "en-US") -> DataFrame:

@@ -98,6 +98,7 @@ SQL = {
         each as (select o, string_agg('(' || x || ')', '|') as x from globs group by o),
         paths as (select distinct file_path from source_files where file_path is not null)
         select nullif(o, chr(0)) as owner, file_path from owners left join each using (o), paths where x is null or not regexp_matches(file_path, x)""",
+    "anonymous_stats": _with(FACTS) + "select 'Developer_' || (('0x' || substr(md5(file_path), 1, 8))::bigint % 2147483648) % 100 as developer, count(*) as n_issues from facts where file_path is not null group by 1",
     "analysis_keys": "select 0::bigint as shared_keys, 0::bigint as shared_ids",
     "category_status": _with(FACTS, FILES, CATEGORIES, _WHOLE, _PICKS) + """select category, case when trunc(score) between 81 and 100 then 'Terrible, urgent fixes needed' when trunc(score) between 61 and 80 then 'Poor, refactoring recommended'
         when trunc(score) between 41 and 60 then 'Average, needs improvement' when trunc(score) between 21 and 40 then 'Good, room for improvement' else 'Excellent, keep it up' end as status,

@@ -49,19 +49,22 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def clear(spark: SparkSession | None = None) -> None:
-    """Remove the intermediate tables written so far (by ``spark``, or by any session): for long sessions, once the results that read them have been taken."""
-    mine = [(s, p) for s, p in _written if spark is None or s is spark]
-    _written[:] = [x for x in _written if x not in mine]
-    for owner, path in mine:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    _written[:] = [x for x in _written if x not in tables]
+    for spark, path in tables:
         try:
-            jvm, jsc = owner.sparkContext._jvm, owner.sparkContext._jsc
+            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001 - the session may be gone, the folder is temporary
             pass
 
 
+def clear(spark: SparkSession | None = None) -> None:
+    """Remove the intermediate tables written so far (by ``spark``, or by any session): for long sessions, once the results that read them have been taken."""
+    _remove([(s, p) for s, p in _written if spark is None or s is spark])
+
+
 atexit.register(clear)
 
 
@@ -75,3 +78,10 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a shared table that nothing yet to run reads."""
+    spark = df.sparkSession
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    _remove([(s, p) for s, p in _written if s is spark and any(f.endswith(p.rsplit("/", 1)[1]) for f in paths)])
