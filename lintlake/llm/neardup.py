@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashing import mixed
-from lintlake.session import partitions, shared_table, spread
+from lintlake.session import partitions, release, shared_table, spread
 
 #: Prefix lengths of regions, and the chance that a pair right at the threshold shares none of a length in all trees that have it.
 DEPTHS, MISS = (3, 5, 7), 1e-4
@@ -92,7 +92,9 @@ def shingle_sets(df: DataFrame, key: Column, text: Column, size: int, fewest_tok
     first = sets.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = shared_table(sets.select("id", "set_key").join(first, "set_key").select("id", "class_id").distinct(), "members")
     classes = sets.join(members.where("id = class_id").select("id"), "id").dropDuplicates(["id"]).select(F.col("id").alias("class_id"), "shingles", "sketch")
-    return shared_table(classes, "classes"), members
+    classes = shared_table(classes, "classes")
+    release(sets)
+    return classes, members
 
 
 def _factors(n: int, seed: int) -> np.ndarray:

@@ -39,7 +39,7 @@ SAMPLE, HOT_SHARE = 16, 1e-6
 #: Characters by which the minimiser of too full a bucket is made longer; a second time by single ones.
 STEP = 32
 #: Characters of text for a byte of a compressed file, at a guess, from which the number of buckets follows.
-CHARACTERS_OF_BYTE = 8
+CHARACTERS_OF_BYTE = 4
 
 _SENT = "kind string, bucket int, strings binary, matches binary"
 _COLUMNS = ["kind", "bucket", "strings", "matches"]
