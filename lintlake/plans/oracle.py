@@ -277,3 +277,6 @@ SQL["rule_unsafe_abuse"] = SQL["rule_unsafe_abuse"].replace(_with(FILES, TOKENS)
     from parsed left join (select file_path, count(*) as m from free where 'unsafe' in (p1, p2, p3, p4) group by 1) using (file_path)) where n > 2"""
 SQL["rule_ffi_abuse"] = SQL["rule_ffi_abuse"].replace(_with(FILES), _with(FILES, TOKENS, FUNCTIONS, _EXTERNS)) + f""" union all select file_path, {_ROW.format("ffi-abuse", "'Spicy'", "Sarcastic")}, so_far::varchar from counted where block and so_far > 10
     union all select file_path, {_ROW.format("ffi-abuse", "'Spicy'", "Sarcastic")}, n::varchar from (select file_path, count(*) as n from blocks group by 1) where n > 2"""
+SQL["rule_string_abuse"] = _with(FILES, TOKENS) + f"""select file_path, {_ROW.format("string-abuse", "'Mild'", "Gentle")}, t as subject from kept where {_CALL.format("to_string")} or t = 'String' and not (n1 = ':' and n2 = ':') union all """ + _over(
+    "string-abuse", ["String::new()", "String::from(", ".to_string()"], 5, "'Spicy'", "Sarcastic"
+)
