@@ -143,11 +143,16 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(*_near_blocks(spark, sf_dir)).withColumnRenamed("id", "block_id")
 
 
-SQL["p5_found"] = """with t as (select distinct block_id, regexp_extract_all(lower(block_text), '[a-z0-9_]+') as k from code_blocks),
+_PAIRS = """t as (select distinct block_id, regexp_extract_all(lower(block_text), '[a-z0-9_]+') as k from code_blocks),
     s as (select distinct block_id, k[i] || ' ' || k[i + 1] || ' ' || k[i + 2] as s from (select *, unnest(generate_series(1, len(k) - 2)) as i from t where len(k) >= 20)),
     n as (select block_id, count(*) as n from s group by 1),
-    p as (select x.block_id as a, y.block_id as b, count(*) as c from s x join s y on x.s = y.s and x.block_id < y.block_id group by 1, 2)
-    select a as block_id_a, b as block_id_b from p join n x on a = x.block_id join n y on b = y.block_id where c >= 0.6 * (x.n + y.n - c)"""
+    p as (select x.block_id as a, y.block_id as b, count(*) as c from s x join s y on x.s = y.s and x.block_id < y.block_id group by 1, 2),
+    found as (select a, b from p join n x on a = x.block_id join n y on b = y.block_id where c >= 0.6 * (x.n + y.n - c))"""
+SQL["p5_found"] = f"with {_PAIRS} select a as block_id_a, b as block_id_b from found"
+SQL["p5_groups"] = f"""with recursive {_PAIRS}, classes as (select block_id, min(block_id) over (partition by k) as class_id from (select block_id, list(s order by s) as k from s group by block_id)),
+    links as (select a, b from found union all select b, a from found), reached(block_id, other) as (select block_id, block_id from n union select block_id, b from reached join links on other = a)
+    select block_id, class_id, group_id, coalesce(n_links, 0) as n_links from classes join (select block_id, min(other) as group_id from reached group by 1) using (block_id)
+    left join (select a as block_id, count(*) as n_links from links group by 1) using (block_id)"""
 
 
 # Problem 6: encoding with a public tokenizer
