@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import duckdb
 import numpy as np
@@ -21,7 +22,7 @@ QUERY_BYTES = 1 << 18
 KNOWN_WORDS = 1 << 18
 #: Bytes up to which a word is contracted whole, of the pieces in which longer words are, tokens on both sides of a seam that are
 #: contracted anew at first, and bytes of words whose pieces are held at once (a multiple of the piece).
-WHOLE, PIECE, SEAM, STRETCH = 512, 64, 8, 1 << 20
+WHOLE, PIECE, SEAM, STRETCH = 2048, 64, 8, 1 << 20
 #: Tokens that one decoding query joins.
 DECODE_TOKENS = 1 << 19
 
@@ -108,9 +109,13 @@ class WordEncoder:
         self.con.register("given", merges)
         self.con.execute("create table merges as select * from given")
         self.of_byte = of_byte
-        self.bytes_of = token_bytes(merges, of_byte)
+        self.merges = merges
         self.known: dict[str, np.ndarray] = {}
 
+    @cached_property
+    def bytes_of(self) -> dict[int, bytes]:
+        return token_bytes(self.merges, self.of_byte)
+
     def _query(self, raw: list[bytes]) -> list[np.ndarray]:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         word = np.repeat(np.arange(len(raw)), size)
